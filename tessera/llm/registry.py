@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontamination, language_id, quality_rules, secret_scan, sentencepiece_codec, toxicity, url_filter
+from . import chat_format, decontamination, language_id, ngram_join, quality_rules, secret_scan, sentencepiece_codec, toxicity, url_filter
 from ._io import table
 
 
@@ -31,6 +31,10 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.token_digests(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_formatting": op3_chat_formatting,
     "op4_secret_scans": op4_secret_scans,
     "op5_url_filters": op5_url_filters,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,

@@ -184,7 +184,15 @@ class Codec:
         return self._chunks(SPACE + text.replace(" ", SPACE)) if text else []
 
     def encode(self, text: str) -> list[int]:
-        return [i for c in self.chunks(text) for i in self._new(c)]
+        """Ids of a text; its chunks come from the cache."""
+        chunks = self.chunks(text)
+        missing = {c for c in chunks if c not in self.new}
+        if len(missing) + len(self.new) > self.cache_entries // 2:
+            missing = set(chunks)
+        if missing:
+            self._fill(missing)
+        ids = ",".join(map(self.new.__getitem__, chunks))
+        return list(map(int, ids.split(","))) if ids else []
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids, without the space of the dummy prefix."""
@@ -275,6 +283,24 @@ def token_digests(docs: DataFrame, model_file: str | None = None, id_col: str =
     return source.mapInArrow(run, f"id {kind}, {RESULT}").withColumnRenamed("id", id_col)
 
 
+def encoded(docs: DataFrame, model_file: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """For every row: its id, token_ids, n_tokens, and round_trip: whether the ids decode to the text (space marks as spaces)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(model_file or default_model())
+        for b in batches:
+            for k in range(0, b.num_rows, 500):
+                part = b.slice(k, 500)
+                texts = [x or "" for x in part.column(1).to_pylist()]
+                ids = [c.encode(x) for x in texts]
+                same = [c.decode(i) == x.replace(SPACE, " ") for x, i in zip(texts, ids, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64()), pa.array(same, pa.bool_())], names=["id", "token_ids", "n_tokens", "round_trip"])
+
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    kind = source.schema["id"].dataType.simpleString()
+    return source.mapInArrow(run, f"id {kind}, token_ids array<int>, n_tokens long, round_trip boolean").withColumnRenamed("id", id_col)
+
+
 def encode(docs: DataFrame, model_file: str | None = None, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
     """docs with an array of ids; a column of that name is replaced."""
 

@@ -179,23 +179,38 @@ def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER
     return learn([r["text"] or "" for r in rows], [r["toxic"] for r in rows], [sizes[r["toxic"]] / got[r["toxic"]] for r in rows])
 
 
+def _all_scores(model: Model, column: pa.Array, most: int = 1 << 20) -> np.ndarray:
+    """Scores of a column of texts, taken in blocks of about `most` characters."""
+    scores, block, size = [], [], 0
+    for x in column.to_pylist():
+        block.append(x or "")
+        size += len(block[-1])
+        if size > most:
+            scores.append(model.scores(block))
+            block, size = [], 0
+    if block:
+        scores.append(model.scores(block))
+    return np.concatenate(scores) if scores else np.zeros(0)
+
+
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """docs' doc_id, held_out, score and predicted, a row for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, scores, block, size = b.column(2).to_pylist(), [], [], 0
-            for x in texts:
-                block.append(x or "")
-                size += len(block[-1])
-                if size > 1 << 20:
-                    scores.append(model.scores(block))
-                    block, size = [], 0
-            if block:
-                scores.append(model.scores(block))
-            s = np.concatenate(scores) if scores else np.zeros(0)
+            s = _all_scores(model, b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
     source = docs.select("doc_id", held_out().alias("held_out"), F.col("text").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     return source.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+
+
+def kept(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs that score below the threshold, all columns as they were."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(_all_scores(model, b.column(b.schema.names.index("text"))) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
