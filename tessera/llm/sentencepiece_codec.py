@@ -183,16 +183,24 @@ class Codec:
     def chunks(self, text: str) -> list[str]:
         return self._chunks(SPACE + text.replace(" ", SPACE)) if text else []
 
+    def _joined(self, texts: list[str]) -> Iterator[tuple[str, list[str]]]:
+        """For each text its ids, joined by commas, and its chunks; chunks that the cache lacks are merged block by block."""
+        for block in _blocks(texts):
+            split = [self.chunks(x) for x in block]
+            missing = {c for chunks in split for c in chunks if c not in self.new}
+            if len(missing) + len(self.new) > self.cache_entries // 2:
+                missing = {c for chunks in split for c in chunks}
+            if missing:
+                self._fill(missing)
+            ids_of = self.new.__getitem__
+            for chunks in split:
+                yield ",".join(map(ids_of, chunks)), chunks
+
     def encode(self, text: str) -> list[int]:
-        """Ids of a text; its chunks come from the cache."""
-        chunks = self.chunks(text)
-        missing = {c for c in chunks if c not in self.new}
-        if len(missing) + len(self.new) > self.cache_entries // 2:
-            missing = set(chunks)
-        if missing:
-            self._fill(missing)
-        ids = ",".join(map(self.new.__getitem__, chunks))
-        return list(map(int, ids.split(","))) if ids else []
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        return [list(map(int, ids.split(","))) if ids else [] for ids, _ in self._joined(texts)]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids, without the space of the dummy prefix."""
@@ -203,20 +211,11 @@ class Codec:
     def digests(self, texts: list[str]) -> tuple[list[int], list[str], list[str]]:
         """Counts of ids, digests of the ids and of the decoded texts."""
         n_tokens, ids_sha, text_sha = [], [], []
-        for block in _blocks(texts):
-            split = [self.chunks(x) for x in block]
-            missing = {c for chunks in split for c in chunks if c not in self.new}
-            if len(missing) + len(self.new) > self.cache_entries // 2:
-                missing = {c for chunks in split for c in chunks}
-            if missing:
-                self._fill(missing)
-            ids_of = self.new.__getitem__
-            for chunks in split:
-                ids = ",".join(map(ids_of, chunks))
-                plain = "".join(chunks).replace(SPACE, " ")[1:]  # each chunk's ids were found to decode to the chunk
-                n_tokens.append(ids.count(",") + 1 if ids else 0)
-                ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
-                text_sha.append(hashlib.sha256(plain.encode()).hexdigest())
+        for ids, chunks in self._joined(texts):
+            plain = "".join(chunks).replace(SPACE, " ")[1:]  # each chunk's ids were found to decode to the chunk
+            n_tokens.append(ids.count(",") + 1 if ids else 0)
+            ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
+            text_sha.append(hashlib.sha256(plain.encode()).hexdigest())
         return n_tokens, ids_sha, text_sha
 
 
@@ -292,7 +291,7 @@ def encoded(docs: DataFrame, model_file: str | None = None, id_col: str = "doc_i
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
                 texts = [x or "" for x in part.column(1).to_pylist()]
-                ids = [c.encode(x) for x in texts]
+                ids = c.encode_all(texts)
                 same = [c.decode(i) == x.replace(SPACE, " ") for x, i in zip(texts, ids, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64()), pa.array(same, pa.bool_())], names=["id", "token_ids", "n_tokens", "round_trip"])
 
