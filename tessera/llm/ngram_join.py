@@ -5,8 +5,9 @@ component is what links connect. All links are found, none is sampled:
 
 1. Documents with equal sets are one class (a 128-bit signature), and only classes are compared.
 2. A count sketch of fixed size over the shingles of all documents gives one order, rare shingles first.
-   Linked classes share a shingle among the first n - ceil(t n) + 1 of their n (prefix filter), so classes
-   that share none of these with another class are done.
+   Linked classes share a shingle among the first n - ceil(t n) + 1 of their n, and at least m among the
+   first n - ceil(t n) + m (prefix filter), so a class that shares fewer than m of these with others is
+   done; m is EXTRA of its shingles.
 3. The others fall into groups by a min-hash. Each group keeps the union of its members' shingles; a
    class is looked up in the matrix of groups and shingles, the overlap with a group's union bounds that
    with each member, and only groups whose bound qualifies are opened and compared exactly.
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._io import checkpointed, text_blocks, utf8_buffers
@@ -39,6 +40,8 @@ SKETCH_BITS, SKETCH_PARTS = 18, 16
 CHUNK_CLASSES, CHUNK_SHINGLES = 128, 200_000
 #: Bits of the filter that tells a scan which classes' sets are wanted; when it is full it only saves less.
 FILTER_BITS = 1 << 25
+#: Share of a class's shingles by which its prefix is longer than needed for one shared shingle.
+EXTRA = 25  # one in so many
 _C = [np.uint64(x) for x in (0x8F14E45FCEEA167A, 0x45C48CCE2E2D7FBD, 0xD3D9446802A44259)]
 
 
@@ -113,13 +116,13 @@ def _sketch(scanned: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, k: int, num: int, den: int, sketch: np.ndarray) -> DataFrame:
-    """(sig, n, prefix) of each class."""
+    """(sig, cid, prefix) of each class: its rarest shingles, rarest first. cid is the first half of the signature."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, seen = shared.value, set()
         for b in batches:
-            sig, n, prefix = [], [], []
+            sig, prefix = [], []
             for s in shingle_sets(*utf8_buffers(b.column(0)), k):
                 if len(s):
                     g = signature(s)
@@ -127,13 +130,13 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, sketch: np.ndarray) -
                         continue
                     seen.add(g)
                     sig.append(g)
-                    n.append(len(s))
                     order = np.argsort(count[s >> np.uint64(64 - SKETCH_BITS)], kind="stable")
-                    prefix.append(s[order[: prefix_length(len(s), num, den)]].astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array(n, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], names=["sig", "n", "prefix"])
+                    prefix.append(s[order[: prefix_length(len(s), num, den) + max(1, len(s) // EXTRA) - 1]].astype(np.int64))
+            cid = np.frombuffer(b"".join(sig), ">i8")[::2].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array(cid), pa.array(prefix, pa.list_(pa.int64()))], names=["sig", "cid", "prefix"])
 
-    rows = docs.select(F.col("text").alias("t")).mapInArrow(run, "sig binary, n long, prefix array<bigint>")
-    return rows.groupBy("sig").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    rows = docs.select(F.col("text").alias("t")).mapInArrow(run, "sig binary, cid long, prefix array<bigint>")
+    return rows.groupBy("sig").agg(F.first("cid").alias("cid"), F.first("prefix").alias("prefix")).select("cid", "prefix")
 
 
 def _filter_bits(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -300,10 +303,17 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Da
     scanned = checkpointed(_scan(docs, k))
     rows = scanned.filter(F.col("part").isNull())
     classes = checkpointed(rows.filter(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("key").alias("key")))
-    prefixes = checkpointed(_prefixes(docs, k, num, den, _sketch(scanned)))
-    tokens = prefixes.select("sig", "n", F.explode("prefix").alias("token"))
-    shared = checkpointed(tokens.join(tokens.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1"), "token", "left_semi").select("token", "sig", "n"))
-    sets = checkpointed(_wanted_sets(docs, k, shared.select("sig").distinct()))
+    sizes = rows.filter(F.col("sig").isNotNull()).select("sig", "n").distinct()
+    sizes = sizes.withColumn("cid", F.conv(F.hex(F.substring("sig", 1, 8)), 16, -10).cast("long")).withColumn("need", F.greatest(F.lit(1), F.floor(F.col("n") / EXTRA)))
+    sizes = sizes.withColumn("plain", F.col("n") - F.floor((F.col("n") * num + (den - 1)) / den) + 1)
+    tokens = _prefixes(docs, k, num, den, _sketch(scanned)).select("cid", F.posexplode("prefix").alias("place", "token"))
+    several = Window.partitionBy("token")
+    found = tokens.withColumn("low", F.min("cid").over(several)).withColumn("high", F.max("cid").over(several)).filter("low < high")
+    found = checkpointed(found.select("token", "cid", "place"))
+    hits = found.groupBy("cid").agg(F.count("*").alias("hits"))
+    wanted = checkpointed(sizes.join(hits, "cid").filter(F.col("hits") >= F.col("need")).select("sig", "n", "cid", "plain"))
+    shared = found.join(wanted, "cid").filter(F.col("place") < F.col("plain")).select("token", "sig", "n")
+    sets = checkpointed(_wanted_sets(docs, k, wanted.select("sig")))
     inside = checkpointed(_inside_groups(sets, classes.select("sig", "key"), num, den))
     labels = connected(inside)
     across = checkpointed(_across(sets, shared, labels, num, den))
