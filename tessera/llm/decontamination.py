@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._io import text_blocks, utf8_buffers
+from ._io import lean, text_blocks, utf8_buffers
 from ._words import gram_hashes, words_of
 
 WINDOW = 10
@@ -177,7 +177,7 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, te
         drop = last and not keep_text
         out = [f for f in docs.schema.fields if not (drop and f.name == text_col)]
         schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in out)
-        docs = docs.mapInArrow(_pass(shared, text_col, drop, first), schema)
+        docs = docs.mapInArrow(lean(_pass(shared, text_col, drop, first)), schema)
         first = False
     return docs
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._io import held_out
+from ._io import held_out, lean
 
 #: Training rows (those with the smallest hash of doc_id) and the landmarks among them, at most, in each language.
 ROWS_PER_LANGUAGE, LANDMARKS_PER_LANGUAGE = 500, 40
@@ -150,18 +150,18 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         for b in batches:
             langs, scores, block, size = [], [], [], 0
-            for x in b.column(2).to_pylist() + [None]:
-                if block and (size > 1 << 20 or len(block) == 400):
+            for x in [*b.column(2), None]:
+                if block and (size > 1 << 19 or len(block) == 300):
                     got = m.predict(block)
                     langs += got[0]
                     scores.append(got[1])
                     block, size = [], 0
-                block.append(x)
-                size += len(x or "")
+                block.append(x.as_py() if x is not None else None)
+                size += len(block[-1] or "")
             got = m.predict(block)  # its last text is the None added above
             langs, scores = (langs + got[0])[:-1], np.concatenate([*scores, got[1]])[:-1]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     source = docs.select("doc_id", held_out().alias("held_out"), F.col("text").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return source.mapInArrow(lean(run), f"doc_id {kind}, held_out boolean, lang_pred string, score double")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._io import checkpointed, text_blocks, utf8_buffers
+from ._io import checkpointed, lean, text_blocks, utf8_buffers
 from ._words import gram_hashes, mix, words_of
 from .components import connected
 
@@ -96,7 +96,7 @@ def _scan(docs: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.nulls(m, kind), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.array(range(m), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").alias("t")).mapInArrow(run, f"doc_id {kind}, n long, sig binary, key long, part int, counts binary")
+    return docs.select("doc_id", F.col("text").alias("t")).mapInArrow(lean(run), f"doc_id {kind}, n long, sig binary, key long, part int, counts binary")
 
 
 def _sketch(scanned: DataFrame) -> np.ndarray:
@@ -135,7 +135,7 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, sketch: np.ndarray) -
             cid = np.frombuffer(b"".join(sig), ">i8")[::2].astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array(cid), pa.array(prefix, pa.list_(pa.int64()))], names=["sig", "cid", "prefix"])
 
-    rows = docs.select(F.col("text").alias("t")).mapInArrow(run, "sig binary, cid long, prefix array<bigint>")
+    rows = docs.select(F.col("text").alias("t")).mapInArrow(lean(run), "sig binary, cid long, prefix array<bigint>")
     return rows.groupBy("sig").agg(F.first("cid").alias("cid"), F.first("prefix").alias("prefix")).select("cid", "prefix")
 
 
@@ -163,7 +163,7 @@ def _filter(sigs: DataFrame) -> bytes:
         bits = np.bitwise_or.reduce([np.frombuffer(x.as_py(), np.uint8) for x in table.column("bits")])
         return pa.table({"part": table.column("part")[:1], "bits": pa.array([bits.tobytes()], pa.binary())})
 
-    packed = sigs.select("sig").coalesce(24).mapInArrow(pack, "part int, bits binary")
+    packed = sigs.select("sig").coalesce(24).mapInArrow(lean(pack), "part int, bits binary")
     got = {r["part"]: r["bits"] for r in packed.groupBy("part").applyInArrow(join, "part int, bits binary").collect()}
     return b"".join(got.get(p, bytes(FILTER_BITS // 128)) for p in range(16))
 
@@ -186,7 +186,7 @@ def _wanted_sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
                         sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array(n, pa.int64()), pa.array(sets, pa.binary())], names=["sig", "n", "shingles"])
 
-    rows = docs.select(F.col("text").alias("t")).mapInArrow(run, "sig binary, n long, shingles binary")
+    rows = docs.select(F.col("text").alias("t")).mapInArrow(lean(run), "sig binary, n long, shingles binary")
     return rows.join(wanted.select("sig"), "sig", "left_semi").groupBy("sig").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
 
 

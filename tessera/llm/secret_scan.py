@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._io import lean
+
 KINDS = ("assign", "access", "hex", "literal")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -123,7 +125,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_literal long").withColumnRenamed("id", id_col)
+    return source.mapInArrow(lean(run), f"id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_literal long").withColumnRenamed("id", id_col)
 
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -20,9 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._io import lean
+
 SPACE = "▁"
 #: Entries of a worker's chunk cache; half of them are the older ones, dropped first.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 300_000
 #: Longest part merged without a heap.
 SHORT = 40
 NONE = float("-inf")
@@ -249,6 +251,12 @@ def _utf8(run: bytearray) -> str:
     return "".join(out)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 _codecs: dict[str, Codec] = {}
 
 
@@ -273,13 +281,13 @@ def token_digests(docs: DataFrame, model_file: str | None = None, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_file or default_model())
-        for b in batches:
+        for b in _slices(batches):
             n, ids, text = c.digests([x or "" for x in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, {RESULT}").withColumnRenamed("id", id_col)
+    return source.mapInArrow(lean(run), f"id {kind}, {RESULT}").withColumnRenamed("id", id_col)
 
 
 def encoded(docs: DataFrame, model_file: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -287,17 +295,15 @@ def encoded(docs: DataFrame, model_file: str | None = None, id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_file or default_model())
-        for b in batches:
-            for k in range(0, b.num_rows, 500):
-                part = b.slice(k, 500)
-                texts = [x or "" for x in part.column(1).to_pylist()]
-                ids = c.encode_all(texts)
-                same = [c.decode(i) == x.replace(SPACE, " ") for x, i in zip(texts, ids, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64()), pa.array(same, pa.bool_())], names=["id", "token_ids", "n_tokens", "round_trip"])
+        for part in _slices(batches):
+            texts = [x or "" for x in part.column(1).to_pylist()]
+            ids = c.encode_all(texts)
+            same = [c.decode(i) == x.replace(SPACE, " ") for x, i in zip(texts, ids, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64()), pa.array(same, pa.bool_())], names=["id", "token_ids", "n_tokens", "round_trip"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, token_ids array<int>, n_tokens long, round_trip boolean").withColumnRenamed("id", id_col)
+    return source.mapInArrow(lean(run), f"id {kind}, token_ids array<int>, n_tokens long, round_trip boolean").withColumnRenamed("id", id_col)
 
 
 def encode(docs: DataFrame, model_file: str | None = None, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._io import held_out
+from ._io import held_out, lean
 
 #: Labelled documents of each class from which the model is learned, at most: those with the smallest hash of doc_id.
 SAMPLE_PER_CLASS = 2500
@@ -179,11 +179,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER
     return learn([r["text"] or "" for r in rows], [r["toxic"] for r in rows], [sizes[r["toxic"]] / got[r["toxic"]] for r in rows])
 
 
-def _all_scores(model: Model, column: pa.Array, most: int = 1 << 20) -> np.ndarray:
+def _all_scores(model: Model, column: pa.Array, most: int = 1 << 19) -> np.ndarray:
     """Scores of a column of texts, taken in blocks of about `most` characters."""
     scores, block, size = [], [], 0
-    for x in column.to_pylist():
-        block.append(x or "")
+    for x in column:
+        block.append(x.as_py() or "")
         size += len(block[-1])
         if size > most:
             scores.append(model.scores(block))
@@ -203,7 +203,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
     source = docs.select("doc_id", held_out().alias("held_out"), F.col("text").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return source.mapInArrow(lean(run), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def kept(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
@@ -213,4 +213,4 @@ def kept(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(_all_scores(model, b.column(b.schema.names.index("text"))) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
