@@ -65,7 +65,7 @@ class Tables:
 
     @property
     def events(self) -> DataFrame:
-        return self.raw("events")
+        return self.raw("events").withColumn("ts", F.col("ts").cast("timestamp"))
 
     @property
     def vectors(self) -> DataFrame:
