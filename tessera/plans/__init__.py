@@ -1,4 +1,4 @@
 """The queries of the engine's own operators."""
 
-from . import relational, rollups  # noqa: F401  (they register themselves)
+from . import graphs, relational, retrieval, rollups  # noqa: F401  (they register themselves)
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
