@@ -7,7 +7,7 @@ component is what links connect. All links are found, none is sampled:
 2. A count sketch of fixed size over the shingles of all documents gives one order, rare shingles first.
    Linked classes share a shingle among the first n - ceil(t n) + 1 of their n, and at least m among the
    first n - ceil(t n) + m (prefix filter), so a class that shares fewer than m of these with others is
-   done; m is EXTRA of its shingles.
+   done; m is 8 % of its shingles.
 3. The others fall into groups by a min-hash. Each group keeps the union of its members' shingles; a
    class is looked up in the matrix of groups and shingles, the overlap with a group's union bounds that
    with each member, and only groups whose bound qualifies are opened and compared exactly.
@@ -24,6 +24,7 @@ count as copies. A component is named by its smallest doc_id; null ids are passe
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,13 +36,13 @@ from ._io import checkpointed, lean, text_blocks, utf8_buffers
 from ._words import gram_hashes, mix, words_of
 from .components import connected
 
-SKETCH_BITS, SKETCH_PARTS = 18, 16
+SKETCH_BITS, SKETCH_PARTS = 22, 16
 #: Most classes in a chunk of a group, and shingles that they hold together.
 CHUNK_CLASSES, CHUNK_SHINGLES = 128, 200_000
 #: Bits of the filter that tells a scan which classes' sets are wanted; when it is full it only saves less.
 FILTER_BITS = 1 << 25
 #: Share of a class's shingles by which its prefix is longer than needed for one shared shingle.
-EXTRA = 25  # one in so many
+EXTRA, EXTRA_OF = 2, 25
 _C = [np.uint64(x) for x in (0x8F14E45FCEEA167A, 0x45C48CCE2E2D7FBD, 0xD3D9446802A44259)]
 
 
@@ -75,7 +76,7 @@ def _scan(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, n, sig, key) for each row, sig null for empty sets; and (part, counts), the parts of each task's sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        sketch = np.zeros(1 << SKETCH_BITS, np.int32)
         names = ["doc_id", "n", "sig", "key", "part", "counts"]
         kind = None
         for b in batches:
@@ -87,11 +88,11 @@ def _scan(docs: DataFrame, k: int) -> DataFrame:
                 key.append(int(mix(s ^ _C[2]).min().astype(np.int64)) if len(s) else None)
                 tokens.append(s)
             if tokens:
-                sketch += np.bincount((np.concatenate(tokens) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
+                sketch += np.bincount((np.concatenate(tokens) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch)).astype(np.int32)
             m = len(n)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(key, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
         if kind is not None:
-            parts = [p.astype(np.int64).tobytes() for p in np.split(sketch, SKETCH_PARTS)]
+            parts = [zlib.compress(p.astype(np.int64).tobytes(), 1) for p in np.split(sketch, SKETCH_PARTS)]
             m = len(parts)
             yield pa.RecordBatch.from_arrays([pa.nulls(m, kind), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.array(range(m), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
@@ -104,15 +105,15 @@ def _sketch(scanned: DataFrame) -> np.ndarray:
     parts = scanned.filter(F.col("part").isNotNull()).select("part", "counts")
 
     def total(table: pa.Table) -> pa.Table:
-        counts = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("counts"))
-        return pa.table({"part": table.column("part")[:1], "counts": pa.array([counts.tobytes()], pa.binary())})
+        counts = sum(np.frombuffer(zlib.decompress(x.as_py()), np.int64) for x in table.column("counts"))
+        return pa.table({"part": table.column("part")[:1], "counts": pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())})
 
     salted = parts.groupBy("part", (F.spark_partition_id() % 64).alias("s")).applyInArrow(total, "part int, counts binary")
     rows = salted.groupBy("part").applyInArrow(total, "part int, counts binary").collect()  # SKETCH_PARTS rows
     out = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.int64)
     for r in rows:
-        out[r["part"]] = np.frombuffer(r["counts"], np.int64)
-    return out.reshape(-1)
+        out[r["part"]] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
+    return np.minimum(out.reshape(-1), (1 << 32) - 1).astype(np.uint32)
 
 
 def _prefixes(docs: DataFrame, k: int, num: int, den: int, sketch: np.ndarray) -> DataFrame:
@@ -131,7 +132,7 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, sketch: np.ndarray) -
                     seen.add(g)
                     sig.append(g)
                     order = np.argsort(count[s >> np.uint64(64 - SKETCH_BITS)], kind="stable")
-                    prefix.append(s[order[: prefix_length(len(s), num, den) + max(1, len(s) // EXTRA) - 1]].astype(np.int64))
+                    prefix.append(s[order[: prefix_length(len(s), num, den) + max(1, EXTRA * len(s) // EXTRA_OF) - 1]].astype(np.int64))
             cid = np.frombuffer(b"".join(sig), ">i8")[::2].astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array(cid), pa.array(prefix, pa.list_(pa.int64()))], names=["sig", "cid", "prefix"])
 
@@ -269,17 +270,22 @@ def _inside_groups(sets: DataFrame, keys: DataFrame, num: int, den: int) -> Data
 
 
 def _across(sets: DataFrame, shared: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) between components that share prefix shingles; shared: (token, sig, n)."""
+    """Links (a, b) between components that share prefix shingles; shared: (token, sig, n, place).
+
+    What stands before the first shared shingle of a linked pair, on either side, the other side lacks: so the
+    places of that shingle add up to (1 - t) / (1 + t) of both sizes at most, and other rows needn't meet.
+    """
     labelled = sets.select("sig", "n").join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     sizes = labelled.groupBy("comp").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
     labelled = checkpointed(labelled.join(sizes, "comp"))
     rows = shared.join(labelled.select("sig", "comp", "size"), "sig")
-    groups = rows.groupBy("token", "comp", "size").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    groups = rows.groupBy("token", "comp", "size").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("place").alias("first"))
     several = groups.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1")
-    groups = groups.join(several, "token", "left_semi").select("token", F.col("comp").alias("g"), F.col("size").alias("g_size"), "low", "high")
+    groups = groups.join(several, "token", "left_semi").select("token", F.col("comp").alias("g"), F.col("size").alias("g_size"), "low", "high", "first")
     apart = (F.col("size") < F.col("g_size")) | ((F.col("size") == F.col("g_size")) & (F.col("comp") < F.col("g")))
     fits = (den * F.col("high") >= num * F.col("n")) & (den * F.col("n") >= num * F.col("low"))
-    queries = checkpointed(rows.join(groups, "token").filter(apart & fits).select("sig", "g").distinct())
+    near = (F.col("place") + F.col("first")) * (num + den) <= (den - num) * (F.col("n") + F.col("high"))
+    queries = checkpointed(rows.join(groups, "token").filter(apart & fits & near).select("sig", "g").distinct())
     asked = queries.groupBy("g").agg(F.count("*").alias("asked")).withColumn("salts", F.ceil(F.col("asked") / (4 * CHUNK_CLASSES)).cast("int"))
     asked = asked.join(sizes.withColumnRenamed("comp", "g"), "g").select("g", "salts", _chunks("size", "total").alias("chunks"))
     numbers = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
@@ -304,7 +310,7 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Da
     rows = scanned.filter(F.col("part").isNull())
     classes = checkpointed(rows.filter(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("key").alias("key")))
     sizes = rows.filter(F.col("sig").isNotNull()).select("sig", "n").distinct()
-    sizes = sizes.withColumn("cid", F.conv(F.hex(F.substring("sig", 1, 8)), 16, -10).cast("long")).withColumn("need", F.greatest(F.lit(1), F.floor(F.col("n") / EXTRA)))
+    sizes = sizes.withColumn("cid", F.conv(F.hex(F.substring("sig", 1, 8)), 16, -10).cast("long")).withColumn("need", F.greatest(F.lit(1), F.floor(F.col("n") * EXTRA / EXTRA_OF)))
     sizes = sizes.withColumn("plain", F.col("n") - F.floor((F.col("n") * num + (den - 1)) / den) + 1)
     tokens = _prefixes(docs, k, num, den, _sketch(scanned)).select("cid", F.posexplode("prefix").alias("place", "token"))
     several = Window.partitionBy("token")
@@ -312,7 +318,7 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Da
     found = checkpointed(found.select("token", "cid", "place"))
     hits = found.groupBy("cid").agg(F.count("*").alias("hits"))
     wanted = checkpointed(sizes.join(hits, "cid").filter(F.col("hits") >= F.col("need")).select("sig", "n", "cid", "plain"))
-    shared = found.join(wanted, "cid").filter(F.col("place") < F.col("plain")).select("token", "sig", "n")
+    shared = found.join(wanted, "cid").filter(F.col("place") < F.col("plain")).select("token", "sig", "n", "place")
     sets = checkpointed(_wanted_sets(docs, k, wanted.select("sig")))
     inside = checkpointed(_inside_groups(sets, classes.select("sig", "key"), num, den))
     labels = connected(inside)
