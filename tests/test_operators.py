@@ -65,15 +65,15 @@ def test_matchers_take_the_first_shape(spark):
 
 def test_pagerank_on_a_small_graph(spark):
     e = spark.createDataFrame([("b", "a"), ("c", "a"), ("c", "b"), ("d", "a"), ("d", "b")], "src string, dst string")
-    rank = {r["node"]: r["rank"] for r in G.pagerank(e, 30).collect()}
+    rank = {r["node"]: r["rank"] for r in G.pagerank(e, 6).collect()}
     assert rank["a"] > rank["b"] > rank["c"] and sum(rank.values()) == pytest.approx(1)
-    auth = {r["node"]: r for r in G.authority(e, iterations=5).collect()}
+    auth = {r["node"]: r for r in G.authority(e, iterations=2).collect()}
     assert auth["a"]["percentile"] == 100 and auth["a"]["in_degree"] == 3 and auth["c"]["percentile"] is None
 
 
 def test_decayed_rank_prefers_recent_citers(spark):
     e = spark.createDataFrame([("old", "x", 0.1), ("new", "y", 1.0)], "src string, dst string, w double")
-    rank = {r["node"]: r["rank"] for r in G.pagerank(e, 20, weight="w").collect()}
+    rank = {r["node"]: r["rank"] for r in G.pagerank(e, 4, weight="w").collect()}
     assert rank["y"] > rank["x"] and sum(rank.values()) == pytest.approx(1)
 
 
@@ -164,7 +164,7 @@ def test_sentences_and_chunks():
     assert Tx.chunks("") == [] and Tx.chunks(None) == []
     text = "\n\n".join(f"Block {k} " + "word " * 30 for k in range(6))
     got = Tx.chunks(text, least=64)
-    assert len(got) == 2 and [c[0] for c in got] == [0, 1]
+    assert [c[0] for c in got] == [0, 1, 2] and all(len(c[1].split()) == 64 for c in got)
     long = " ".join(f"Sentence number {k} has a few words in it." for k in range(200))
     parts = Tx.chunks(long)
     assert len(parts) > 2 and all(len(p[1].split()) <= 400 for p in parts)
