@@ -39,13 +39,12 @@ def line_passes(line: Column) -> Column:
 def _repeated(rows: DataFrame) -> DataFrame:
     """Adds n_repeat_words to rows with n_words and win, the hashes of the windows."""
     rows = rows.withColumn("pairs", F.when(F.size(F.array_distinct("win")) < F.size("win"), F.array_sort(F.transform("win", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    pairs, last = F.col("pairs"), F.size("pairs") - 1
-
-    def again(p: Column, j: Column) -> Column:
-        before = F.when(j > 0, F.get(pairs, j - 1)["h"] == p["h"]).otherwise(False)
-        return before | F.when(j < last, F.get(pairs, j + 1)["h"] == p["h"]).otherwise(False)
-
-    rows = rows.withColumn("at", F.when(pairs.isNotNull(), F.array_sort(F.transform(F.filter("pairs", again), lambda p: p["i"]))))
+    pairs, size = F.col("pairs"), F.size("pairs")
+    none = F.array(F.lit(None).cast("bigint"))
+    hashes = F.transform(pairs, lambda p: p["h"])
+    beside = F.zip_with(F.concat(none, F.slice(hashes, F.lit(1), size - 1)), F.concat(F.slice(hashes, F.lit(2), size - 1), none), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    again = F.zip_with(pairs, beside, lambda p, q: F.when(p["h"].eqNullSafe(q["a"]) | p["h"].eqNullSafe(q["b"]), p["i"]))
+    rows = rows.withColumn("at", F.when(pairs.isNotNull(), F.array_sort(F.array_compact(again))))
     start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     n = F.aggregate("at", start, lambda a, i: F.struct((i + WINDOW).alias("end"), (a["n"] + i + WINDOW - F.greatest(a["end"], i)).alias("n")))["n"]
     return rows.withColumn("n_repeat_words", F.coalesce(n, F.lit(0)).cast("long"))
