@@ -56,7 +56,8 @@ def assess(docs: DataFrame, least_left: float = LEAST_LEFT) -> DataFrame:
     rows = docs.select("doc_id", text.alias("t"))
     rows = rows.withColumn("words", F.filter(F.split("t", WHITE + "+"), lambda w: w != ""))
     rows = rows.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))).withColumn("n_words", F.size("words").cast("long")).drop("words")
-    windows = F.transform(F.sequence(F.lit(1), F.size("hashes") - WINDOW + 1), lambda i: F.xxhash64(F.slice("hashes", i, WINDOW)))
+    shifted = F.arrays_zip(*(F.slice("hashes", F.lit(k + 1), F.size("hashes") - WINDOW + 1) for k in range(WINDOW)))
+    windows = F.transform(shifted, lambda w: F.xxhash64(*(w[str(k)] for k in range(WINDOW))))
     rows = rows.withColumn("win", F.when(F.col("n_words") > WINDOW, windows).otherwise(F.array().cast("array<bigint>"))).drop("hashes")
     rows = _repeated(rows).drop("win", "pairs", "at")
     rows = rows.withColumn("lines", F.filter(F.split("t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
