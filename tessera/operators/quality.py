@@ -125,7 +125,14 @@ def repair_year_pinpoint(rel: DataFrame) -> DataFrame:
 
 
 def repair_dangling_alias(aliases: DataFrame, docs: DataFrame) -> DataFrame:
-    return aliases.join(dangling(aliases, docs).select("alias"), "alias", "left_anti")
+    """Aliases without the dangling ones; a removal can leave others dangling, so the probe is run again until it finds none."""
+    from .graph import _cut
+
+    while True:
+        bad = dangling(aliases, docs).select("alias").distinct()
+        if bad.isEmpty():
+            return aliases
+        aliases = _cut(aliases.join(bad, "alias", "left_anti"))
 
 
 def issues(errors: DataFrame) -> DataFrame:

@@ -219,7 +219,7 @@ def repair_probes_are_zero(t: Tables) -> DataFrame:
     held = right.filter("size > 10")
     return Q.summary({
         "self_citation": Q.self_citation(Q.repair_self_citation(rel)), "resolved_target_missing": Q.resolved_target_missing(Q.repair_missing_target(rel, few), few), "pending_but_held": Q.pending_but_held(Q.repair_pending_but_held(rel, some), some),
-        "duplicate_spans": Q.duplicate_spans(Q.repair_duplicate_spans(rel, "raw", "src_id", "dst_anchor"), "src_id", "dst_anchor"), "year_shaped_pinpoint": Q.year_shaped_pinpoint(Q.repair_year_pinpoint(years)), "alias_dangling": Q.alias_dangling(Q.repair_dangling_alias(Q.repair_dangling_alias(Q.repair_dangling_alias(aliases, held), held), held), held),
+        "duplicate_spans": Q.duplicate_spans(Q.repair_duplicate_spans(rel, "raw", "src_id", "dst_anchor"), "src_id", "dst_anchor"), "year_shaped_pinpoint": Q.year_shaped_pinpoint(Q.repair_year_pinpoint(years)), "alias_dangling": Q.alias_dangling(Q.repair_dangling_alias(aliases, held), held),
     })
 
 
