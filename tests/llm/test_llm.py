@@ -277,6 +277,30 @@ def test_substring_dedup(spark):
     assert substring_dedup.passages(df.limit(0)).count() == 0
 
 
+def test_substring_dedup_splits_chains(spark):
+    R = random.Random(4)
+    words = lambda n: ["".join(R.choice("abcdefghij") for _ in range(R.randint(3, 8))) for _ in range(n)]
+    p, q = words(60), words(60)
+    for own in (100, 150):  # gaps are aligned word by word up to 100 words
+        texts = [words(own) + p + words(own) + q + words(own) for _ in range(2)]
+        a, b = texts
+        want = {(i, j, n) for i in range(len(a)) for j in range(len(b)) if not i or not j or a[i - 1] != b[j - 1] for n in [next((n for n in range(len(a)) if i + n >= len(a) or j + n >= len(b) or a[i + n] != b[j + n]), 0)] if n >= 50}
+        assert {n for *_, n in want} == {60}
+        df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+        assert {(r["other_start"], r["start"], r["end"] - r["start"]) for r in substring_dedup.passages(df).collect()} == want
+
+
+def test_segments_lose_no_stretch():
+    R = random.Random(6)
+    for _ in range(300):
+        pieces = [(n, 0, n, n) if R.random() < 0.5 else (0, n, n, R.choice((0, n))) for n in (R.choice((1, 2, 3, 10, 20, 40)) for _ in range(R.randint(1, 12)))]
+        got = substring_dedup.segments(pieces, 50, 0.8)
+        good = [(f, z) for f in range(len(pieces)) for z in range(f + 1, len(pieces) + 1) for e, c, n, _ in [map(sum, zip(*pieces[f:z]))] if pieces[f][0] and pieces[z - 1][0] and n >= 50 and e >= 0.8 * (e + c)]
+        at = [sum(p[2] for p in pieces[:k]) for k in range(len(pieces) + 1)]
+        assert all(e - s >= 50 and n >= 0.8 * (n + c) for s, e, _, _, n, c in got)
+        assert all(any(s < at[z] and at[f] < e for s, e, *_ in got) for f, z in good)
+
+
 def test_chains_are_the_best_ones():
     R = random.Random(2)
     for _ in range(30):
