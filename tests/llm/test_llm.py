@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -290,6 +291,25 @@ def test_substring_dedup_splits_chains(spark):
         assert {(r["other_start"], r["start"], r["end"] - r["start"]) for r in substring_dedup.passages(df).collect()} == want
 
 
+def test_substring_dedup_passage_held_in_parts(spark):
+    R = random.Random(8)
+    words = lambda n: ["".join(R.choice("abcdefghij") for _ in range(R.randint(3, 8))) for _ in range(n)]
+    p = words(60)
+    texts = [words(80) + x + words(80) for x in (p[:30], p[30:], p[:42], p[18:], p, p, p + words(70) + p)]
+    got = substring_dedup.passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    whole = {(r["doc_id"], r["start"]) for r in got if r["end"] - r["start"] >= 60 and r["other_id"] == 4}
+    assert whole == {(5, 80), (6, 80), (6, 210)}  # both places in the last document
+
+
+def test_covering_runs_cover_all():
+    R = random.Random(9)
+    for _ in range(200):
+        places = [(R.randrange(40), R.randrange(5)) for _ in range(R.randint(1, 30))]
+        got = substring_dedup.covering_runs(*np.array(places).T, 6)
+        assert {w for f, z, _ in got for w in range(f, z)} == {w for d, _ in places for w in range(d, d + 6)}
+        assert all((x, x + h - f) in set(places) or z - f > 6 for f, z, h in got for x in (f,))
+
+
 def test_segments_lose_no_stretch():
     R = random.Random(6)
     for _ in range(300):
