@@ -32,8 +32,9 @@ SENSITIVE = {
     "auth": 0.6, "bearer": 0.8, "signing": 0.7, "salt": 0.5, "private": 0.7, "access": 0.4, "key": 0.5, "api": 0.4, "session": 0.4, "cookie": 0.4,
 }
 THRESHOLD, LEAST_LITERAL = 0.8, 8
-NAME = r"[A-Za-z_][A-Za-z0-9_.\-]{0,80}"
-PAIR = re.compile(rf"""(?<![A-Za-z0-9_.\-])["']?({NAME})["']?[ \t]{{0,8}}(?::=|=(?!=)|:(?![:/]))[ \t]{{0,8}}(?:"([^"\n]{{1,400}})"|'([^'\n]{{1,400}})'|([^\s"',;(){{}}\[\]]{{1,400}}))""")
+NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*+"
+#: Without bounds; possessive repeats and literals that end at their quote or line keep it linear.
+PAIR = re.compile(rf"""(?<![A-Za-z0-9_.\-])["']?({NAME})["']?[ \t]*+(?::=|=(?!=)|:(?![:/]))[ \t]*+(?:"([^"\n]++)"|'([^'\n]++)'|([^\s"',;(){{}}\[\]]++))""")
 _SIGN = re.compile(r"[=:]")
 _WORD = re.compile(r"[a-z0-9]+")
 _PARTS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+(?![a-z])")
