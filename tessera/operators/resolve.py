@@ -43,12 +43,13 @@ def version_aliases(docs: DataFrame, version: str = "stable_id") -> DataFrame:
     return newest.join(docs.select(F.col("stable_id").alias("alias")), "alias", "left_anti")
 
 
-def match_names(left: DataFrame, right: DataFrame, *, least_shared: int = 2, margin: float = 0.08, before: int = 2, after: int = 1) -> DataFrame:
+def match_names(left: DataFrame, right: DataFrame, *, least_shared: int = 2, margin: float = 0.08, before: int = 2, after: int = 1, itself: bool = True) -> DataFrame:
     """(left_id, right_id, score): names (id, name, year) matched over shared words within a window of years; score is half the Jaccard
-    index and half the share of left's words found; refused where the best two are nearer than the margin."""
-    a = left.select(F.col("id").alias("left_id"), F.col("year").alias("ly"), surnames(F.col("name")).alias("lw")).withColumn("w", F.explode("lw"))
-    b = right.select(F.col("id").alias("right_id"), F.col("year").alias("ry"), surnames(F.col("name")).alias("rw")).withColumn("w", F.explode("rw"))
-    pairs = a.join(b, "w").filter((F.col("ry") - F.col("ly")).between(-before, after)).select("left_id", "right_id", "lw", "rw").distinct()
+    index and half the share of left's words found; refused where the best two are nearer than the margin.
+    Without `itself`, rows of one id aren't matched, as where left and right are one table."""
+    a = left.select(F.col("id").alias("left_id"), F.explode(F.sequence(F.col("year") - before, F.col("year") + after)).alias("y"), surnames(F.col("name")).alias("lw")).withColumn("w", F.explode("lw"))
+    b = right.select(F.col("id").alias("right_id"), F.col("year").alias("y"), surnames(F.col("name")).alias("rw")).withColumn("w", F.explode("rw"))
+    pairs = a.join(b, ["w", "y"]).filter(F.lit(itself) | (F.col("left_id") != F.col("right_id"))).select("left_id", "right_id", "lw", "rw").distinct()
     both = F.size(F.array_intersect("lw", "rw"))
     score = F.round(0.5 * both / F.size(F.array_union("lw", "rw")) + 0.5 * both / F.size("lw"), 3)
     scored = pairs.filter((both >= least_shared) | (both == F.size("lw"))).select("left_id", "right_id", score.alias("score"))

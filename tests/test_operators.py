@@ -231,3 +231,25 @@ def test_html(spark):
     p = spark.createDataFrame([(1, "u", '<html><title>A &amp; B</title><script>x</script><p>Hi <a href="/q">there</a></p>')], "page_id long, url string, html string")
     r = readers.pages(p).first()
     assert r["text"] == "A & B Hi there" and r["links"] == ["/q"]
+
+
+def test_fuzzy_names_match_over_all_of_part(spark):
+    import math
+
+    from tessera.plans import graphs
+    from tessera.views import Tables
+
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
+    names = [(r[0], set(r[1]), r[2]) for r in part.select("p_partkey", Re.surnames(F.concat_ws(" ", "p_name", "p_brand")), F.col("p_size") + 1990).collect()]
+    want = set()
+    for i, a, y in names:
+        scores = []
+        for j, b, z in names:
+            both = len(a & b)
+            if i != j and -2 <= z - y <= 1 and both and (both >= 2 or both == len(a)):
+                scores.append((-math.floor((0.5 * both / len(a | b) + 0.5 * both / len(a)) * 1000 + 0.5) / 1000, j))
+        scores.sort()
+        if scores and (len(scores) == 1 or scores[1][0] - scores[0][0] >= 0.08):
+            want.add((i, scores[0][1], -scores[0][0]))
+    got = {tuple(r) for r in graphs.match_fuzzy_names(Tables(spark, "/root/testdata/sf0.001")).collect()}
+    assert got == want and {i % 7 for i, *_ in got} == set(range(7))
