@@ -468,3 +468,42 @@ def test_substring_dedup_finds_fuzzy_passages(spark):
         share[rate].append(len(spans[d] & set(range(s, e))) / (e - s))
     print({r: round(float(np.mean([x > 0.5 for x in v])), 3) for r, v in share.items()}, float(np.mean([x for v in share.values() for x in v])))
     assert np.mean([x > 0.5 for v in share.values() for x in v]) >= 0.9
+
+
+def literals(text):
+    return [text[a:z] for k, a, z in secret_scan.spans(text) if k == "literal"]
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        (r'pwd = "ab\"cdEF12345678"', [r"ab\"cdEF12345678"]),  # an escaped quote ends no string
+        ('client_credential = "abc" + "dEF12345678"', ['abc" + "dEF12345678']),
+        ('client_credential = ("abcD"\n  "EF12345678")', ['abcD"\n  "EF12345678']),
+        ('client_credential = """abcD\nEF12345678"""', ["abcD\nEF12345678"]),
+        ("passphrase: |\n  abcD1234\n  efgh5678\nother: x", ["abcD1234\n  efgh5678"]),
+        ("private_key: -----BEGIN KEY-----\nabcD1234\n-----END KEY-----\nx", ["-----BEGIN KEY-----\nabcD1234\n-----END KEY-----"]),
+        ('# pwd = "abcD12345678"', ["abcD12345678"]),
+        ("it's a note about pwd: nothing\nuser's name = 'Long Name 12345'", []),
+        ('a = "abcD12345678"\nb = a\npwd = b\na = "zzzZ12345678"', ["abcD12345678"]),  # the value it had by then
+        ('pwd = a\na = "abcD12345678"', ["abcD12345678"]),
+        ('def f():\n    a = "abcD12345678"\n    return a\ndef g():\n    a = "zzzZ12345678"\n    pwd = a\n', ["zzzZ12345678"]),
+        ('host = "abcD12345678"\nurl_credential = "${host}"', ["abcD12345678"]),
+        ("credential = 'plainwords'\nport = 12345678A", []),
+        ("{\"db-passphrase\" : 'abcD12345678', \"n\": 1}", ["abcD12345678"]),
+        ('passphrase => "abcD12345678"', ["abcD12345678"]),
+    ],
+)
+def test_secret_scan_lexes(text, want):
+    assert literals(text) == want
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["a: |\n b: |\n  c: |\n" * 20_000, "x: -----BEGIN A\n" * 20_000, 'a = "b" + ' * 40_000, "pwd = a\n" * 40_000 + "a = b\n" * 40_000, "def f():\n    a = b\n" * 20_000, 'a="\\' * 60_000, "a='''" * 50_000, 'k="""x' * 30_001, "password=abcdefABCDEF123 " * 20_000, 'a="x' + "y=" * 60_000],
+    ids=range(10),
+)
+def test_secret_scan_is_linear(text):
+    at = time.process_time()
+    secret_scan.spans(text)
+    assert time.process_time() - at < 6
