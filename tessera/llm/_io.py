@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -20,11 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which all executors share.
 
-    Where the session names none (tests on one machine), a temporary folder stands in.
+    Where a local session names none (tests on one machine), a temporary folder stands in; on a cluster that is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-"))
     return sc.getCheckpointDir()
 
 
@@ -39,6 +42,21 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def smallest_hashes(rows: DataFrame, by: str, n: int, most_bytes: int) -> DataFrame:
+    """For each value of `by` at most n distinct rows (doc_id, by, text) and about most_bytes of texts (one text at least): those with the smallest hashes of doc_id and text.
+
+    Rows far beyond the n-th hash are dropped in the scan by a bound from the counts, so only a few rows a value meet in a window.
+    """
+    rows = rows.select("doc_id", by, "text", F.xxhash64("doc_id", "text").alias("hash")).withColumn("draw", F.pmod("hash", F.lit(1 << 40)))
+    counts = rows.groupBy(by).agg(F.count("*").alias("all"))
+    few = rows.join(counts, by).filter(F.col("draw") * F.col("all") <= float(1 << 40) * (2 * n + 200)).drop("all")
+    few = few.groupBy(by, "draw", "hash").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    order = Window.partitionBy(by).orderBy("draw", "hash")
+    before = F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    few = few.withColumn("place", F.row_number().over(order)).withColumn("before", F.coalesce(before, F.lit(0)))
+    return few.filter((F.col("place") <= n) & (F.col("before") < most_bytes)).select("doc_id", by, "text")
+
+
 def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """The same function over batches; a worker gives memory back when its task ends, as workers outlive tasks."""
 

@@ -1,86 +1,139 @@
 """Language identification with string kernels.
 
 A text is the set of its character n-grams (1 to 3 characters, lower case, everything but letters as one
-space): the blended spectrum, by presence. The kernel of two texts is the number of shared n-grams divided
-by the root of the product of their sizes. A Nyström map on landmark texts and one-versus-rest kernel
-ridge regression give a score for each language; texts are scored in blocks, as matrix products of their
-presence rows with the landmarks' and of the kernels with the coefficients.
-
-Null texts and texts without a letter are `und` with score 0. Repeated rows each get a row; equal scores
-go to the language that sorts first. Without training rows every text is `und`.
+space), of any alphabet: the blended spectrum, by presence. The kernel of two texts is the number of shared
+n-grams divided by the root of the product of their sizes. N-grams that no landmark holds are shared with
+none, so the n-grams of the landmarks, all of them, span the kernel, and sizes are counted in them. A Nyström
+map on landmark texts and one-versus-rest kernel ridge regression give a score for each language; texts are
+scored in blocks, as matrix products of their presence rows with the landmarks' and of the kernels with the
+coefficients.
+
+Every language of the training rows can be predicted. Null texts and texts without a letter are `und` with
+score 0. Repeated rows each get a row; equal scores go to the language that sorts first. Without training
+rows every text is `und`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._io import held_out, lean
+from ._io import held_out, lean, smallest_hashes
+from ._words import mix
 
-#: Training rows (those with the smallest hash of doc_id) and the landmarks among them, at most, in each language.
-ROWS_PER_LANGUAGE, LANDMARKS_PER_LANGUAGE = 500, 40
-#: Languages that are learned, at most: the most frequent.
-MOST_LANGUAGES = 64
-#: N-grams of the landmarks that span the kernel, at most: the most widespread.
-MOST_NGRAMS = 6000
+#: Training rows and landmarks among them in all, shared by the languages, and those of a language at least; bytes of training texts in all.
+ROWS, LANDMARKS, LEAST_ROWS, LEAST_LANDMARKS, SAMPLE_BYTES = 2000, 160, 20, 8, 16 << 20
 RIDGE = 1e-2
 UND = "und"
-_A = 64  # letters are folded to so many codes; 0 stands for everything else
+#: Cells of a dense block of presence rows or landmarks.
+CELLS = 1 << 23
+_EMPTY = np.int64(-(1 << 63))
 _code: list[np.ndarray] = []
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Letter codes of all texts, a zero before and behind each and no two zeros in a row inside, and the text of each code."""
+    """Lower-cased letters of all texts as code points, a zero before and behind each text and for every other run inside, and the text of each code."""
     if not _code:
-        table = np.zeros(0x110000, np.uint8)
+        table = np.zeros(0x110000, np.int64)
         for i in range(0x110000):
             c = chr(i)
             if c.isalpha():
-                k = ord(c.lower()[0])
-                table[i] = k - 96 if 97 <= k <= 122 else 27 + k % 37
+                table[i] = ord(c.lower()[0])
         _code.append(table)
     codes = _code[0][np.frombuffer("".join(f" {x} " for x in texts).encode("utf-32-le", "replace"), np.uint32)]
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), [len(x) + 2 for x in texts])
     keep = np.ones(len(codes), bool)
     keep[1:] = (codes[1:] != 0) | (codes[:-1] != 0) | (owner[1:] != owner[:-1])
-    return codes[keep].astype(np.int64), owner[keep]
+    return codes[keep], owner[keep]
 
 
 def _ngrams(codes: np.ndarray) -> list[np.ndarray]:
-    """Numbers of the n-grams that end at each place, for n from 1 to 3; different n have different numbers."""
-    two = codes[:-1] * _A + codes[1:]
-    return [codes, _A + two, _A + _A * _A + two[:-1] * _A + codes[2:]]
+    """Numbers of the n-grams that start at each place, for n from 1 to 3; all n-grams have different numbers."""
+    two = (codes[:-1] << 21) + codes[1:]
+    return [-1 - codes, -(1 << 42) - two, (two[:-1] << 21) + codes[2:]]
+
+
+class Columns:
+    """Columns 1, 2, ... of some n-grams, 0 for any other: a hash table with open addressing, looked up for many at once."""
+
+    def __init__(self, grams: np.ndarray):
+        self.width = len(grams) + 1
+        self.mask = (1 << max(4, (8 * len(grams)).bit_length())) - 1
+        self.key, self.value = np.full(self.mask + 1, _EMPTY), np.zeros(self.mask + 1, np.int32)
+        todo, value, at = grams.astype(np.int64), np.arange(1, len(grams) + 1, dtype=np.int32), self._slot(grams)
+        while len(todo):
+            free = self.key[at] == _EMPTY
+            _, first = np.unique(at, return_index=True)
+            put = np.zeros(len(todo), bool)
+            put[first] = free[first]
+            self.key[at[put]], self.value[at[put]] = todo[put], value[put]
+            todo, value, at = todo[~put], value[~put], (at[~put] + 1) & self.mask
+
+    def _slot(self, grams: np.ndarray) -> np.ndarray:
+        return (mix(grams.astype(np.uint64)) & np.uint64(self.mask)).astype(np.int64)
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        at = self._slot(grams)
+        key = self.key[at]
+        out = np.where(key == grams, self.value[at], 0)
+        todo = np.flatnonzero((key != grams) & (key != _EMPTY))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & self.mask
+            key = self.key[at[todo]]
+            same = key == grams[todo]
+            out[todo[same]] = self.value[at[todo[same]]]
+            todo = todo[~same & (key != _EMPTY)]
+        return out
 
 
-@dataclass(frozen=True)
 class Model:
-    languages: tuple[str, ...]
-    #: n-gram number -> column, 0 for none
-    column: np.ndarray
-    #: landmarks' presence rows, divided by the roots of their sizes
-    landmarks: np.ndarray
-    #: from kernels with the landmarks to the languages' scores
-    coefficients: np.ndarray
+    """languages; columns of the n-grams; the landmarks' presence rows, as bits, and sizes; from kernels with them to the languages' scores."""
+
+    def __init__(self, languages: tuple[str, ...], columns: Columns, bits: np.ndarray, sizes: np.ndarray, coefficients: np.ndarray):
+        self.languages, self.columns, self.bits, self.sizes, self.coefficients = languages, columns, bits, sizes, coefficients
+        self._dense: dict[int, np.ndarray] = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"_dense": {}}
 
     def presence(self, texts: list[str]) -> np.ndarray:
         codes, owner = _codes(texts)
-        width = int(self.column.max(initial=0)) + 1
+        width = self.columns.width
         rows = np.zeros((len(texts), width), np.float32)
         flat, base = rows.reshape(-1), owner.astype(np.int64) * width
         for n, grams in enumerate(_ngrams(codes), 1):
             same = owner[n - 1 :] == owner[: len(owner) - n + 1]
-            flat[(base[n - 1 :] + self.column[grams])[same]] = 1
+            flat[(base[n - 1 :] + self.columns.of(grams))[same]] = 1
         rows[:, 0] = 0
         return rows
 
+    def _marks(self, first: int, step: int) -> np.ndarray:
+        """Some columns of the landmarks' rows; kept where all of them are few."""
+        if first in self._dense:
+            return self._dense[first]
+        out = np.unpackbits(self.bits[:, first // 8 : (first + step) // 8], axis=1).astype(np.float32)
+        if len(self.sizes) * self.columns.width <= 2 * CELLS:
+            self._dense[first] = out
+        return out
+
     def kernels(self, texts: list[str]) -> np.ndarray:
-        rows = self.presence(texts)
-        return (rows @ self.landmarks.T) / np.sqrt(np.maximum(rows.sum(1), 1))[:, None]
+        """Kernels of texts with the landmarks, block by block."""
+        out = []
+        count = max(1, CELLS // self.columns.width)
+        step = max(8, CELLS // max(1, len(self.sizes)) // 8 * 8)
+        for i in range(0, len(texts), count):
+            rows = self.presence(texts[i : i + count])
+            shared = np.zeros((len(rows), len(self.sizes)), np.float32)
+            for c in range(0, self.columns.width, step):
+                marks = self._marks(c, step)
+                part = rows[:, c : c + step]
+                shared += part @ marks[:, : part.shape[1]].T
+            out.append(shared / np.sqrt(np.maximum(rows.sum(1), 1))[:, None] / np.sqrt(np.maximum(self.sizes, 1)))
+        return np.concatenate(out) if out else np.zeros((0, len(self.sizes)), np.float32)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         known = [x or "" for x in texts]
@@ -92,54 +145,43 @@ class Model:
         return [self.languages[k] if ok else UND for k, ok in zip(best, lettered, strict=True)], np.where(lettered, np.clip(out.max(1), 0, 1), 0.0).astype(float)
 
 
-EMPTY = Model((), np.zeros(_A + _A**2 + _A**3, np.int32), np.zeros((0, 1), np.float32), np.zeros((0, 0), np.float32))
+EMPTY = Model((), Columns(np.zeros(0, np.int64)), np.zeros((0, 1), np.uint8), np.zeros(0, np.float32), np.zeros((0, 0), np.float32))
 
 
-def learn(texts: list[str], langs: list[str], landmarks_per_language: int = LANDMARKS_PER_LANGUAGE, most_ngrams: int = MOST_NGRAMS, ridge: float = RIDGE) -> Model:
+def learn(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     languages = tuple(sorted(set(langs)))
     if not languages:
         return EMPTY
+    each = max(LEAST_LANDMARKS, landmarks // len(languages))
     picked, taken = [], dict.fromkeys(languages, 0)
     for i, lang in enumerate(langs):
-        if taken[lang] < landmarks_per_language:
+        if taken[lang] < each:
             taken[lang] += 1
             picked.append(i)
-    spread = np.zeros(_A + _A**2 + _A**3, np.int64)
-    for i in picked:
-        codes, _ = _codes([texts[i]])
-        spread[np.unique(np.concatenate(_ngrams(codes)))] += 1
-    order = np.argsort(-spread, kind="stable")[:most_ngrams]
-    order = order[spread[order] > 0]
-    column = np.zeros(len(spread), np.int32)
-    column[order] = np.arange(1, len(order) + 1)
-    bare = Model(languages, column, np.zeros((0, 1), np.float32), np.zeros((0, 0), np.float32))
-    marks = bare.presence([texts[i] for i in picked])
-    marks /= np.sqrt(np.maximum(marks.sum(1), 1))[:, None]
-    half = Model(languages, column, marks, np.zeros((0, 0), np.float32))
-    k = np.concatenate([half.kernels(texts[i : i + 200]) for i in range(0, len(texts), 200)]).astype(float)
-    values, vectors = np.linalg.eigh((marks @ marks.T).astype(float))
+    grams = np.unique(np.concatenate([np.unique(np.concatenate(_ngrams(_codes([texts[i]])[0]))) for i in picked]))
+    columns = Columns(grams)
+    bare = Model(languages, columns, np.zeros((0, 1), np.uint8), np.zeros(0, np.float32), EMPTY.coefficients)
+    rows = [bare.presence([texts[i]])[0] for i in picked]
+    bits, sizes = np.stack([np.packbits(r > 0) for r in rows]), np.array([r.sum() for r in rows], np.float32)
+    half = Model(languages, columns, bits, sizes, EMPTY.coefficients)
+    k = half.kernels(texts).astype(float)
+    values, vectors = np.linalg.eigh(k[picked])
     good = values > 1e-6 * values.max()
     nystrom = vectors[:, good] / np.sqrt(values[good])
     phi = k @ nystrom
     y = np.array([[float(lang == x) for x in languages] for lang in langs])
     weight = np.sqrt(1 / y.sum(0))[y.argmax(1)][:, None]  # every language weighs the same
     w = np.linalg.solve((phi * weight).T @ (phi * weight) + ridge * np.eye(phi.shape[1]), (phi * weight).T @ (y * weight))
-    return Model(languages, column, marks, (nystrom @ w).astype(np.float32))
+    return Model(languages, columns, bits, sizes, (nystrom @ w).astype(np.float32))
 
 
-def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> Model:
-    """A model from text and lang of the rows that aren't held out; at most most_languages * rows_per_language of them reach the driver."""
-    known = docs.filter(F.col("lang").isNotNull() & ~held_out() & F.col("text").rlike(r"\p{L}"))
-    langs = sorted(r["lang"] for r in docs.filter(F.col("lang").isNotNull() & ~held_out()).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect())
-    ids = [docs.filter((F.col("lang") == x) & ~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_language).select("doc_id") for x in langs]
-    if not ids:
-        return EMPTY
-    few = ids[0]
-    for x in ids[1:]:
-        few = few.unionByName(x)
-    rows = known.join(F.broadcast(few.distinct()), "doc_id", "left_semi").select("doc_id", "text", "lang").collect()  # at most most_languages * rows_per_language ids
-    rows = sorted((r for r in rows if r["lang"] in langs), key=lambda r: (r["lang"], r["doc_id"], r["text"]))
-    return learn([r["text"] for r in rows], [r["lang"] for r in rows])
+def train(docs: DataFrame, rows: int = ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """A model from text and lang of the rows that aren't held out; about `rows` of them and `sample_bytes` of texts reach the driver, shared by the languages."""
+    open_rows = docs.filter(F.col("lang").isNotNull() & ~held_out())
+    n = max(1, open_rows.agg(F.countDistinct("lang").alias("n")).first()["n"])
+    got = smallest_hashes(open_rows.filter(F.col("text").rlike(r"\p{L}")), "lang", max(LEAST_ROWS, rows // n), max(1 << 18, sample_bytes // n)).collect()  # bounded in rows and bytes
+    got.sort(key=lambda r: (r["lang"], r["doc_id"], r["text"]))
+    return learn([r["text"] for r in got], [r["lang"] for r in got])
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:

@@ -338,6 +338,9 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Da
 
 
 def first_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of docs that name their component, one for each doc_id; rows without an id stay."""
+    """The rows of docs that name their component; rows that repeat an id and a text count once, rows without an id stay.
+
+    Of different texts under one id all stay that no document with a smaller id is linked to, or that share their id with such a text.
+    """
     kept = components(docs, k, num, den).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("doc_id").isNull()))
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).unionByName(docs.filter(F.col("doc_id").isNull()))

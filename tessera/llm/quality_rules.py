@@ -73,9 +73,8 @@ def assess(docs: DataFrame, least_left: float = LEAST_LEFT) -> DataFrame:
 
 def cleaned(docs: DataFrame, least_left: float = LEAST_LEFT) -> DataFrame:
     """The documents that are kept by the line rules, with their failing lines removed; all columns stay."""
-    lines = docs.withColumn("__lines", F.split(F.coalesce("text", F.lit("")), "\n", -1))
-    good = F.filter("__lines", lambda x: ~x.rlike(r"[^\x20\x09-\x0D]") | line_passes(x))
-    lines = lines.withColumn("__text", F.array_join(good, "\n")).drop("__lines")
+    good = F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: ~x.rlike(r"[^\x20\x09-\x0D]") | line_passes(x))
+    rows = docs.select(F.struct("*").alias("row"), F.array_join(good, "\n").alias("left"))  # no column of docs can clash
     size = lambda c: F.char_length(F.translate(c, WHITE_CHARACTERS, ""))
-    kept = lines.filter((size("text") > 0) & (size("__text") >= least_left * size("text")))
-    return kept.withColumn("text", F.col("__text")).drop("__text")
+    kept = rows.filter((size("row.text") > 0) & (size("left") >= least_left * size("row.text")))
+    return kept.select(*(F.col("left").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))

@@ -16,6 +16,7 @@ import bisect
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,13 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._io import held_out, lean
+from ._io import held_out, lean, smallest_hashes
 
-#: Labelled documents of each class from which the model is learned, at most: those with the smallest hash of doc_id.
-SAMPLE_PER_CLASS = 2500
+#: Labelled documents of each class from which the model is learned, at most, and bytes of their texts: those with the smallest hashes.
+SAMPLE_PER_CLASS, SAMPLE_BYTES = 2500, 16 << 20
 #: Lexicon entries need this many toxic documents and this log odds ratio.
 LEAST_DOCS, LEAST_WEIGHT = 6, 2.0
-MOST_ENTRIES = 500
 #: Everyday phrases whose words aren't meant as insults.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "class clown", "idiot proof", "sore loser", "pond scum", "white trash bag")
 HOMOGLYPHS = {
@@ -117,8 +117,9 @@ class Model:
                 k = bisect.bisect_right(first, end - size + 1) - 1
                 hits.setdefault(k, []).append((end - size + 1, end, weight, key))
         for k, found in hits.items():
-            spared = [(a, b) for a, b, w, _ in found if w is None]
-            found = [x for x in found if x[2] is not None and not any(a <= x[0] and x[1] <= b for a, b in spared)]
+            spared = sorted((a, b) for a, b, w, _ in found if w is None)
+            begins, ends = [a for a, _ in spared], [*accumulate((b for _, b in spared), max)]
+            found = [x for x in found if x[2] is not None and not (spared and (i := bisect.bisect_right(begins, x[0])) and x[1] <= ends[i - 1])]
             if found:
                 total = sum(x[2] for x in found)
                 out[k, 1:] = 1, math.log1p(total), math.log1p(100 * total / max(int(words[k]), 1)), math.log1p(len({x[3] for x in found}))
@@ -151,10 +152,14 @@ def learn(texts: list[str], toxic: list[int], weights: list[float] | None = None
             if 2 * r >= 15 and p < 0.5:
                 scored.append((-r, -len(e), e, weight))
     entries: dict[str, float] = {}
+    stems, beginnings = set(), set()  # of the entries so far; none begins another
     for _, _, e, weight in sorted(scored):
         stem = e.rstrip(" ")
-        if len(entries) < MOST_ENTRIES and not any(x.rstrip(" ").startswith(stem) or stem.startswith(x.rstrip(" ")) for x in entries):
+        heads = {stem[:k] for k in range(1, len(stem) + 1)}
+        if stem not in beginnings and not heads & stems:
             entries[e] = round(weight, 6)
+            stems.add(stem)
+            beginnings |= heads
     model = Model(tuple(sorted(entries.items())), (0.0,) * 5, exceptions)
     x, beta = model.features(texts), np.zeros(5)
     for _ in range(40):  # Newton's method with a small ridge
@@ -168,11 +173,13 @@ def learn(texts: list[str], toxic: list[int], weights: list[float] | None = None
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS) -> Model:
-    """A model from the labelled rows that aren't held out; at most sample_per_class of each class reach the driver."""
+    """A model from the labelled rows that aren't held out; at most sample_per_class rows and about SAMPLE_BYTES of texts of each class reach the driver."""
     known = labels.filter(F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     picked = [known.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_per_class) for c in (0, 1)]
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").select("text", "toxic").collect()  # at most 2 * sample_per_class ids
+    few = docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")  # at most 2 * sample_per_class ids
+    rows = smallest_hashes(few, "toxic", sample_per_class, SAMPLE_BYTES).collect()  # bounded in rows and bytes
+    rows.sort(key=lambda r: (r["toxic"], r["doc_id"], r["text"] or ""))
     if not rows:
         return Model((), (-4.0, 0.0, 0.0, 0.0, 0.0))
     got = Counter(r["toxic"] for r in rows)

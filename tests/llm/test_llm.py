@@ -86,8 +86,18 @@ def test_chat_round_trip(spark):
     for c, turns in convs.items():
         turns.sort()
         loss = "".join(x for _, _, r, x in turns if r == "assistant")
-        want.append((c, len(turns), sha("".join(f"{r}\n{x}\n" for _, _, r, x in turns)), len(loss), sha(loss), True))
-    assert by_row(chat_format.digests(df), "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "round_trip") == sorted(want, key=repr)
+        size = 0
+        for _, _, r, x in turns:  # a turn that would be read otherwise is escaped, any other stays as it is
+            odd = "\n" in r or any(m in r for m in ("<|im_start|>", "<|nl|>")) or any(m in x for m in ("<|im_start|>", "<|im_end|>")) or re.search(r"<\\+\|", r) or re.search(r"<\\+\|", x)
+            size += 24 + len(r) + len(x) + (bool(odd) and len(re.findall(r"<\\*\|", r + "\0" + x)) + 5 * r.count("\n"))
+        want.append((c, len(turns), sha("".join(f"{r}\n{x}\n" for _, _, r, x in turns)), len(loss), sha(loss), size, True))
+    columns = ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "round_trip")
+    got = by_row(chat_format.digests(df), *columns)
+    assert got == sorted(want, key=repr)
+    c = duckdb.connect()
+    c.register("given", df.toPandas().astype({"conv_id": "Int64", "turn": "Int64"}))
+    c.execute("create view conversations as select * from given")
+    assert sorted(c.sql(chat_format.DIGESTS_SQL).select(*columns).fetchall(), key=repr) == got
     for r in chat_format.conversations(df).collect():
         assert len(r["loss_spans"]) == sum(x[2] == "assistant" for x in convs[r["conv_id"]])
     assert chat_format.digests(df.limit(0)).count() == 1
@@ -507,3 +517,28 @@ def test_secret_scan_is_linear(text):
     at = time.process_time()
     secret_scan.spans(text)
     assert time.process_time() - at < 6
+
+
+def test_language_kernels_are_exact_in_any_alphabet():
+    import numpy as np
+
+    texts = ["Ελλάδα και θάλασσα", "Россия и море", "日本語の文章です", "plain english text", "العربية لغة", "Ελλάδα", "море", "日本", "english", "العربية"]
+    langs = ["el", "ru", "ja", "en", "ar"] * 2
+    m = language_id.learn(texts, langs)
+    spectrum = lambda t: {g for w in [" " + re.sub(r"[^\w]|\d|_", " ", t.lower()) + " "] for w in [re.sub(" +", " ", w)] for n in (1, 2, 3) for g in (w[k : k + n] for k in range(len(w) - n + 1))}
+    s = [spectrum(t) for t in texts]
+    want = [[len(a & b) / np.sqrt(len(a) * len(b)) for b in s] for a in s]
+    assert np.allclose(m.kernels(texts), want, atol=1e-5)
+    assert m.predict(["θάλασσα", "и море", "文章", "text", "لغة", "", None])[0] == ["el", "ru", "ja", "en", "ar", "und", "und"]
+    many = language_id.learn([f"{chr(97 + k % 26)}{chr(97 + k // 26)} " * 5 for k in range(100)], [f"l{k:03}" for k in range(100)])
+    assert len(many.languages) == 100 and many.predict([f"{chr(97 + 7)}{chr(97 + 3)} "])[0] == ["l085"]
+
+
+def test_training_samples_are_bounded(spark):
+    from tessera.llm._io import smallest_hashes
+
+    rows = spark.range(3000).select((F.col("id") % 700).alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("lang"), F.concat(F.lit("text "), F.col("id") % 40).alias("text"))
+    got = smallest_hashes(rows, "lang", 50, 1 << 20).groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in got} == {"a": 50, "b": 50}
+    assert smallest_hashes(rows, "lang", 50, 30).groupBy("lang").count().agg(F.max("count")).first()[0] <= 6
+    assert smallest_hashes(rows.limit(0), "lang", 50, 30).count() == 0
