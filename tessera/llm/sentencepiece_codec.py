@@ -4,7 +4,8 @@ A text is merged by a score-ordered agenda of adjacent symbol pairs: the pair wi
 merged first, the leftmost among equals, and the pairs that the merge makes join the agenda. Pieces hold
 a space mark only at their start, so texts fall into chunks that never merge with each other; every
 distinct chunk is merged once a worker, and each newly merged chunk is checked against the sentencepiece
-library, batch by batch. A difference raises an error.
+library, batch by batch, as is the first whole text of every batch. A difference raises an error. Texts are
+decoded from their ids.
 
 Null text is encoded as the empty text: no ids, an empty decoding. Nothing is truncated.
 """
@@ -23,11 +24,12 @@ from pyspark.sql import functions as F
 from ._io import lean
 
 SPACE = "▁"
-#: Entries of a worker's chunk cache; half of them are the older ones, dropped first.
-CACHE_ENTRIES = 300_000
+#: Entries of a worker's chunk cache and characters in them; half of them are the older ones, dropped first.
+CACHE_ENTRIES, CACHE_CHARS = 300_000, 8 << 20
 #: Longest part merged without a heap.
 SHORT = 40
 NONE = float("-inf")
+_BYTE_TEXT = [chr(v) if v < 128 else None for v in range(256)]
 RESULT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -64,6 +66,8 @@ class Codec:
         if any(SPACE in p.lstrip(SPACE) for p in self.id):
             raise ValueError("a piece holds a space mark inside")
         self.value_of = {i: v for v, i in self.byte_of.items()}
+        #: What an id stands for by itself, under its decimal number; bytes beyond ASCII stand for nothing alone.
+        self.plain_of = {str(i): p.replace(SPACE, " ") for p, i in self.id.items()} | {str(i): _BYTE_TEXT[v] for v, i in self.byte_of.items() if v < 128}
         self.pairs = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
         joint: dict[str, set[str]] = {}
         for x, y in self.pairs:
@@ -77,7 +81,7 @@ class Codec:
         self._chunks = re.compile(f"{SPACE}*[{m}]*[^{SPACE}{m}{lone}]+|{SPACE}*[{m}]+|{SPACE}+" + (f"|{lone}" if lone else "")).findall
         self.new: dict[str, str] = {}
         self.old: dict[str, str] = {}
-        self.cache_entries = cache_entries
+        self.cache_entries, self.chars = cache_entries, 0
 
     def merge(self, text: str) -> list[int]:
         """Ids of a text without a dummy prefix, spaces already marked, by the agenda of adjacent pairs."""
@@ -147,8 +151,9 @@ class Codec:
 
     def _fill(self, chunks: set[str]) -> None:
         """Put chunks in the cache: from its older half, else merged and checked against the library."""
-        if len(self.new) + len(chunks) > self.cache_entries // 2:
-            self.old, self.new = self.new, {}
+        if len(self.new) + len(chunks) > self.cache_entries // 2 or self.chars > CACHE_CHARS // 2:
+            self.old, self.new, self.chars = self.new, {}, 0
+        self.chars += sum(map(len, chunks))
         old, todo = self.old, []
         for c in chunks:
             ids = old.get(c)
@@ -190,7 +195,7 @@ class Codec:
         for block in _blocks(texts):
             split = [self.chunks(x) for x in block]
             missing = {c for chunks in split for c in chunks if c not in self.new}
-            if len(missing) + len(self.new) > self.cache_entries // 2:
+            if len(missing) + len(self.new) > self.cache_entries // 2 or missing and self.chars > CACHE_CHARS // 2:
                 missing = {c for chunks in split for c in chunks}
             if missing:
                 self._fill(missing)
@@ -210,11 +215,27 @@ class Codec:
         first = next((i for i in ids if i not in self.silent), None)
         return out[1:] if first is not None and self.piece[first].startswith(SPACE) else out
 
+    def decode_joined(self, ids: str) -> str:
+        """decode of ids that are joined by commas."""
+        if not ids:
+            return ""
+        try:
+            out = "".join(map(self.plain_of.__getitem__, ids.split(",")))
+        except KeyError:  # bytes beyond ASCII, or ids of no ordinary piece
+            return self.decode([*map(int, ids.split(","))])
+        return out[1:] if out[0] == " " else out
+
+    def check_whole(self, text: str, ids: str, decoded: str) -> None:
+        """Raise where the library encodes or decodes a whole text otherwise."""
+        want = self.library.encode(text)
+        if ",".join(map(str, want)) != ids or self.library.decode(want) != decoded:
+            raise AssertionError(f"the agenda and the library differ on a text of {len(text)} characters")
+
     def digests(self, texts: list[str]) -> tuple[list[int], list[str], list[str]]:
         """Counts of ids, digests of the ids and of the decoded texts."""
         n_tokens, ids_sha, text_sha = [], [], []
-        for ids, chunks in self._joined(texts):
-            plain = "".join(chunks).replace(SPACE, " ")[1:]  # each chunk's ids were found to decode to the chunk
+        for ids, _ in self._joined(texts):
+            plain = self.decode_joined(ids)
             n_tokens.append(ids.count(",") + 1 if ids else 0)
             ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
             text_sha.append(hashlib.sha256(plain.encode()).hexdigest())
@@ -282,7 +303,9 @@ def token_digests(docs: DataFrame, model_file: str | None = None, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_file or default_model())
         for b in _slices(batches):
-            n, ids, text = c.digests([x or "" for x in b.column(1).to_pylist()])
+            texts = [x or "" for x in b.column(1).to_pylist()]
+            c.check_whole(first := texts[0], ids := next(c._joined([first]))[0], c.decode_joined(ids))  # one whole text a batch
+            n, ids, text = c.digests(texts)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))

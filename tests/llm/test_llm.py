@@ -139,14 +139,27 @@ def test_secret_scan(docs, pairs):
 
 
 def test_url_filter(spark):
-    urls = ["http://A.Example.COM/en/7?x#y", "https://b.example.com/en/8", "com://com/en/", "x://notcom/en/1", "http://q.example.net/de/8", "http://net/de/1", "http://z.org/es/", "no scheme", None, "", "a://b?://c/d", "http://spam-farm.example.org/fr/1", "http://h.com"]
+    urls = ["http://A.Example.COM/en/7?x#y", "https://b.example.com/en/8", "com://com/en/", "x://notcom/en/1", "http://q.example.net/de/8", "http://net/de/1", "http://z.org/es/", "no scheme", None, "", "a://b?://c/d", "http://casino-slots.example.org/fr/1", "http://h.com"]
     df = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string").withColumn("host", F.lit("clash"))
     got = {r["page_id"]: r for r in url_filter.judge(df).collect()}
     assert [(got[k]["rule"], got[k]["verdict"]) for k in range(7)] == [("example.com/en/7", "allow"), ("com/en/", "block"), ("com/en/", "block"), (None, "allow"), ("example.net/de/8", "allow"), ("net/de/", "block"), ("org/es/", "block")]
     assert (got[0]["host"], got[0]["path"]) == ("a.example.com", "/en/7") and (got[7]["host"], got[8]["host"], got[8]["path"]) == ("", "", "") and (got[10]["host"], got[10]["path"]) == ("b", "")
     assert got[11]["verdict"] == "block" and got[12]["path"] == ""
     m = url_filter.train()
-    assert all((m.scores([h], [p])[0] >= 0.5) == bool(c) for u, c in url_filter.LABELLED for h, p in [url_filter._split(u)])
+    table = url_filter.labelled_urls()
+    assert min(url_filter.measure(m, [x for x in table if not url_filter.held_out(x[0])])) >= 0.99
+    unseen = [x for x in table if url_filter.held_out(x[0])]
+    precision, recall = url_filter.measure(m, unseen)
+    print(precision, recall, len(unseen))
+    assert len(unseen) > 100 and precision >= 0.95 and recall >= 0.95
+    real = {"https://www.bbc.co.uk/news": 0, "https://github.com/apache/spark": 0, "http://hot-singles.info/": 1, "https://casino-royal.example.com/x": 1, "https://en.wikipedia.org/wiki/Casino_(film)": 0, "http://cheap-pills.example.org/order": 1, "": 0}
+    assert [bool(m.scores([h], [p])[0] >= 0.5) for u in real for h, p in [url_filter._split(u)]] == [bool(x) for x in real.values()]
+    own = url_filter.train([("http://aaa.com/", 1), ("http://bbb.com/", 0)])
+    assert own.scores(["aaa.com"], ["/"])[0] > 0.5 > own.scores(["bbb.com"], ["/"])[0]
+    scored = url_filter.judge(df.limit(0)).count(), url_filter.judge(df).filter("(rule IS NULL) <> (block_score IS NOT NULL)").count()
+    assert scored == (0, 0)
+    long = spark.createDataFrame([(1, "http://" + "a" * 100_000 + ".com/" + "b" * 100_000)], "page_id long, url string")
+    assert url_filter.judge(long).count() == 1
 
 
 def components(rows, k, num, den):
@@ -223,6 +236,12 @@ def test_sentencepiece(docs, pairs):
         want.append((i, len(ids), sha(",".join(map(str, ids))), sha(c.library.decode(ids))))
     assert by_row(sentencepiece_codec.token_digests(docs), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=repr)
     assert sentencepiece_codec.encoded(docs).filter("NOT round_trip").count() == 0
+    assert sentencepiece_codec.token_digests(docs.limit(0)).count() == 0
+    for _ in range(300):
+        ids = [R.choice([0, 1, 2, 13, 150, 200, 230, 259, 261, 1000, 29871]) for _ in range(R.randint(0, 8))]
+        assert c.decode_joined(",".join(map(str, ids))) == c.library.decode(ids)
+    with pytest.raises(AssertionError):
+        c.check_whole("some text", "1,2", "x")
 
 
 @pytest.mark.parametrize("block", [1 << 24, 800])
