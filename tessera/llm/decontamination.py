@@ -3,7 +3,8 @@
 Words are runs of 0-9, a-z and characters beyond ASCII, after A-Z are lower-cased. Test items (benchmark
 texts) are cut into windows of WINDOW words; a shorter item is one window. The training texts are read in
 shards; of each shard the suffixes that start as some window does are sorted (its suffix array, cut to
-those that can match), and every test suffix is looked up by binary search. From the places of its windows
+those that can match), and every test suffix is looked up by binary search. Suffixes that start no window
+can't hold a match that counts, so they aren't sorted. From the places of its windows
 the longest verbatim matches of each item follow, as runs along a diagonal. Words are compared by 64-bit
 hashes.
 
@@ -27,8 +28,8 @@ from ._io import lean, text_blocks, utf8_buffers
 from ._words import gram_hashes, words_of
 
 WINDOW = 10
-#: Bytes of test texts in a block that is broadcast.
-BLOCK_BYTES = 16 << 20
+#: Bytes of test texts in a block that is broadcast; its windows take some ten times as much.
+BLOCK_BYTES = 4 << 20
 _HEAD = 3
 _FILTER_BITS = 22
 _MATCHES = "array<struct<item_id:string,doc_start:int,item_start:int,n_words:int>>"
@@ -43,21 +44,28 @@ class Windows:
         raw = [(t or "").encode("utf-8", "replace") for _, t in items]
         off = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
         words = words_of(np.frombuffer(b"".join(raw), np.uint8), off, "letters")
+        n = np.diff(words.first)
         self.vocabulary, ids = np.unique(words.hashes, return_inverse=True)
-        ids = (ids + 1).astype(np.uint32)
-        keys: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
-        heads: dict[int, list[int]] = {}
-        for k in range(len(items)):
-            a, z = words.first[k], words.first[k + 1]
-            size = min(window, z - a)
-            for p in range(a, z - size + 1) if size else ():
-                keys.setdefault((int(size), ids[p : p + size].astype(">u4").tobytes()), []).append((k, int(p - a)))
-            if size:
-                g = int(min(size, _HEAD))
-                heads.setdefault(g, []).extend(gram_hashes(words.hashes[a : z - size + g], g).tolist())
-        self.keys = sorted(keys)
-        self.places = [keys[k] for k in self.keys]
-        self.heads = {g: np.unique(np.array(h, np.uint64)) for g, h in heads.items()}
+        count = np.where(n > window, n - window + 1, np.minimum(n, 1))  # windows of each item
+        item = np.repeat(np.arange(len(items)), count).astype(np.int32)
+        offset = (np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count)).astype(np.int32)
+        at, size = words.first[item] + offset, np.minimum(n[item], window)
+        keys = np.zeros((len(at), window), ">u4")  # numbers of the words from 1, 0 behind a shorter item
+        for k in range(window):
+            inside = k < size
+            keys[inside, k] = ids[at[inside] + k] + 1
+        flat = keys.view(f"S{4 * window}").reshape(-1) if len(keys) else np.zeros(0, f"S{4 * window}")
+        order = np.argsort(flat, kind="stable")
+        flat = flat[order]
+        new = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, np.int64)
+        #: the distinct windows in order, their sizes, and where each one's places begin in item and offset
+        self.keys, self.size, self.first = flat[new], size[order][new].astype(np.int16), np.r_[new, len(flat)]
+        self.item, self.offset = item[order], offset[order]
+        self.heads = {}
+        for g in range(1, _HEAD + 1):
+            own = at[np.minimum(size, _HEAD) == g]
+            if len(own):
+                self.heads[g] = np.unique(gram_hashes(words.hashes, g)[own])
         self._quick: dict[int, np.ndarray] = {}
 
     def __getstate__(self):
@@ -97,20 +105,23 @@ class Windows:
         if not len(at):
             z = np.zeros(0, np.int64)
             return z, z, z
-        size = 4 * self.window
-        low = np.searchsorted(keys, np.array([k for _, k in self.keys], f"S{size}"), "left")
-        high = np.searchsorted(keys, np.array([k.ljust(size, b"\xff") for _, k in self.keys], f"S{size}"), "right")
+        short = self.size < self.window
+        above = self.keys.copy()
+        if short.any():
+            above[short] = [bytes(k)[: 4 * int(z)].ljust(4 * int(z), b"\0").ljust(4 * self.window, b"\xff") for k, z in zip(self.keys[short], self.size[short])]
+        low, high = np.searchsorted(keys, self.keys, "left"), np.searchsorted(keys, above, "right")
         n = np.maximum(high - low, 0)
         which = np.repeat(np.arange(len(n)), n)
         place = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return at[place], np.array([s for s, _ in self.keys], np.int64)[which], which
+        return at[place], self.size[which].astype(np.int64), which
 
 
 def _longest(windows: Windows, base: int, places: list[tuple[int, int, int]]) -> list[tuple[str, int, int, int]]:
     """The longest match of each item with one text, from its windows' (place, length, number); the first of equals."""
     runs: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for p, size, which in sorted(places):
-        for item, q in windows.places[which]:
+        own = slice(windows.first[which], windows.first[which + 1])
+        for item, q in zip(windows.item[own].tolist(), windows.offset[own].tolist()):
             runs.setdefault((item, p - q), []).append((p, size))
     best: dict[str, tuple[int, int, int]] = {}
     for (item, diagonal), found in runs.items():
@@ -167,19 +178,26 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str,
         yield sorted((r["id"], r["text"]) for r in part.collect())  # about block_bytes
 
 
-def with_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", keep_text: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with __n_words, __spans (hit words, from 0, merged within a block of the test set) and __matches (the longest of each item)."""
+def with_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", keep_text: bool = True, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, tuple[str, str, str]]:
+    """docs with three more columns, and their names: the number of words, the hit spans (words from 0, merged within a block of the test set) and the longest match of each item.
+
+    The columns are called __n_words, __spans and __matches, with more underlines where docs has such a column.
+    """
     sc, first, blocks = docs.sparkSession.sparkContext, True, list_ahead(_blocks(benchmark, block_bytes))
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    names = f"{prefix}n_words", f"{prefix}spans", f"{prefix}matches"
     for items, last in blocks:
         shared = sc.broadcast(Windows(items, window))
         if first:
-            docs = docs.select("*", F.lit(0).cast("long").alias("__n_words"), F.array().cast(_SPANS).alias("__spans"), F.array().cast(_MATCHES).alias("__matches"))
+            docs = docs.select("*", F.lit(0).cast("long").alias(names[0]), F.array().cast(_SPANS).alias(names[1]), F.array().cast(_MATCHES).alias(names[2]))
         drop = last and not keep_text
         out = [f for f in docs.schema.fields if not (drop and f.name == text_col)]
         schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in out)
-        docs = docs.mapInArrow(lean(_pass(shared, text_col, drop, first)), schema)
+        docs = docs.mapInArrow(lean(_pass(shared, text_col, drop, first, names)), schema)
         first = False
-    return docs
+    return docs, names
 
 
 def list_ahead(blocks: Iterator) -> Iterator[tuple[object, bool]]:
@@ -191,24 +209,24 @@ def list_ahead(blocks: Iterator) -> Iterator[tuple[object, bool]]:
     yield held, True
 
 
-def _pass(shared, text_col: str, drop: bool, first: bool):
-    kinds = {"__spans": pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])), "__matches": pa.list_(pa.struct([("item_id", pa.string()), ("doc_start", pa.int32()), ("item_start", pa.int32()), ("n_words", pa.int32())]))}
+def _pass(shared, text_col: str, drop: bool, first: bool, added: tuple[str, str, str]):
+    kinds = (pa.int64(), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])), pa.list_(pa.struct([("item_id", pa.string()), ("doc_start", pa.int32()), ("item_start", pa.int32()), ("n_words", pa.int32())])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names = b.schema.names
-            n, spans, matches = _search(shared.value, *utf8_buffers(b.column(names.index(text_col))))
+            found = [*_search(shared.value, *utf8_buffers(b.column(names.index(text_col))))]
             if not first:
-                spans = [x + y for x, y in zip(b.column(names.index("__spans")).to_pylist(), spans, strict=True)]
-                matches = [x + y for x, y in zip(b.column(names.index("__matches")).to_pylist(), matches, strict=True)]
-            new = {"__n_words": pa.array(n, pa.int64()), "__spans": pa.array(spans, kinds["__spans"]), "__matches": pa.array(matches, kinds["__matches"])}
+                for k in (1, 2):
+                    found[k] = [x + y for x, y in zip(b.column(names.index(added[k])).to_pylist(), found[k], strict=True)]
+            new = {c: pa.array(v, kind) for c, v, kind in zip(added, found, kinds, strict=True)}
             kept = [c for c in names if not (drop and c == text_col)]
             yield pa.RecordBatch.from_arrays([new[c] if c in new else b.column(names.index(c)) for c in kept], names=kept)
 
     return run
 
 
-def n_hit(spans="__spans"):
+def n_hit(spans: str):
     """Column: the number of words in any of the spans."""
     start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     step = lambda a, s: F.struct(F.greatest(a["end"], s["last"] + 1).alias("end"), (a["n"] + F.greatest(F.lit(0), s["last"] + 1 - F.greatest(a["end"], s["first"]))).alias("n"))
@@ -217,13 +235,13 @@ def n_hit(spans="__spans"):
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and matches for every row."""
-    rows = with_matches(docs.select("doc_id", "text"), benchmark, window, keep_text=False)
-    items = F.array_sort(F.array_distinct(F.col("__matches.item_id")))
-    rows = rows.select("doc_id", F.col("__n_words").alias("n_words"), n_hit().alias("n_hit"), items.alias("items"), F.col("__matches").alias("matches"))
+    rows, (words, spans, matches) = with_matches(docs.select("doc_id", "text"), benchmark, window, keep_text=False)
+    items = F.array_sort(F.array_distinct(F.col(matches)["item_id"]))
+    rows = rows.select("doc_id", F.col(words).alias("n_words"), n_hit(spans).alias("n_hit"), items.alias("items"), F.col(matches).alias("matches"))
     return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "matches")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs without a match, all columns as they were."""
-    rows = with_matches(docs, benchmark, window)
-    return rows.filter(F.size("__spans") == 0).select(*docs.columns)
+    rows, (_, spans, _) = with_matches(docs, benchmark, window)
+    return rows.filter(F.size(spans) == 0).drop(*(c for c in rows.columns if c not in docs.columns))

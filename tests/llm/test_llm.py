@@ -275,6 +275,8 @@ def test_decontamination(spark, docs, pairs, block):
         assert clean.columns == df.columns and clean.count() == sum(not w[-1] for w in want)
     finally:
         decontamination.with_matches.__defaults__ = old
+    clash = df.withColumn("__spans", F.lit("kept")).withColumn("__n_words", F.lit(1))
+    assert decontamination.decontaminated(clash, bench).columns == clash.columns and decontamination.decontaminated(clash, bench).count() == clean.count()
     assert decontamination.report(df.limit(0), bench).count() == 0 and decontamination.report(df, bench.limit(0)).filter("contaminated").count() == 0
 
 
@@ -287,6 +289,25 @@ def test_longest_match_is_found():
     assert matches[0] == [{"item_id": "i", "doc_start": 2, "item_start": 4, "n_words": 21}] and spans[0] == [{"first": 2, "last": 22}]
 
 
+def test_a_full_block_of_windows_is_small():
+    import pickle
+    import resource
+
+    R = random.Random(3)
+    words = [f"w{k}" for k in range(50_000)]
+    items, size = [], 0
+    while size < decontamination.BLOCK_BYTES:
+        items.append((str(len(items)), " ".join(R.choices(words, k=150))))
+        size += len(items[-1][1])
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    w = decontamination.Windows(items)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500 << 10  # KB
+    assert len(pickle.dumps(w)) < 80 << 20
+    t = ("q " + items[77][1] + " z").encode()
+    got = decontamination._search(w, np.frombuffer(t, np.uint8), np.array([0, len(t)]))
+    assert got[1] == [[{"first": 1, "last": 150}]] and got[2][0][0]["n_words"] == 150
+
+
 def test_toxicity(spark):
     big = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
