@@ -25,7 +25,7 @@ from ._io import lean
 
 SPACE = "▁"
 #: Entries of a worker's chunk cache and characters in them; half of them are the older ones, dropped first.
-CACHE_ENTRIES, CACHE_CHARS = 300_000, 8 << 20
+CACHE_ENTRIES, CACHE_CHARS = 600_000, 16 << 20
 #: Longest part merged without a heap.
 SHORT = 40
 NONE = float("-inf")
