@@ -45,11 +45,12 @@ def held_out(doc_id: str = "doc_id"):
 def smallest_hashes(rows: DataFrame, by: str, n: int, most_bytes: int) -> DataFrame:
     """For each value of `by` at most n distinct rows (doc_id, by, text) and about most_bytes of texts (one text at least): those with the smallest hashes of doc_id and text.
 
-    Rows far beyond the n-th hash are dropped in the scan by a bound from the counts, so only a few rows a value meet in a window.
+    Rows far beyond the n-th hash are dropped in the scan by a bound from the counts (sent along: a number for each value, of
+    which the caller learns a model with a row each), so only a few rows a value meet in a window.
     """
     rows = rows.select("doc_id", by, "text", F.xxhash64("doc_id", "text").alias("hash")).withColumn("draw", F.pmod("hash", F.lit(1 << 40)))
     counts = rows.groupBy(by).agg(F.count("*").alias("all"))
-    few = rows.join(counts, by).filter(F.col("draw") * F.col("all") <= float(1 << 40) * (2 * n + 200)).drop("all")
+    few = rows.join(F.broadcast(counts), by).filter(F.col("draw") * F.col("all") <= float(1 << 40) * (2 * n + 200)).drop("all")
     few = few.groupBy(by, "draw", "hash").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
     order = Window.partitionBy(by).orderBy("draw", "hash")
     before = F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1))
