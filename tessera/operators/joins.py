@@ -58,19 +58,25 @@ def dangling(aliases: DataFrame, docs: DataFrame) -> DataFrame:
 def lineage(edges: DataFrame, mapping: DataFrame, inside: Column) -> DataFrame:
     """Edges to a previous provision, inherited by its current one: equal document, anchor inside the mapped one, date up to inherit_before."""
     m = mapping.select("current_id", "previous_id", "previous_anchor", "inherit_before")
-    joined = edges.join(F.broadcast(m) if getattr(mapping, "_bounded", False) else m, edges["dst_id"] == m["previous_id"])
+    joined = edges.join(m, edges["dst_id"] == m["previous_id"])
     early = F.col("inherit_before").isNull() | (F.col("event_date") <= F.col("inherit_before"))
     return joined.filter(inside & early & (F.col("src_id") != F.col("current_id")))
 
 
-def chase(aliases: DataFrame, docs: DataFrame, most: int = 4) -> DataFrame:
-    """(alias, stable_id) along chains of aliases, as far as `most` steps; those that end nowhere drop out."""
-    ends = docs.select(F.col("stable_id").alias("canonical_id"))
-    step = aliases.select("alias", "canonical_id")
-    found = step.join(ends, "canonical_id", "left_semi")
-    rest, more = step.join(ends, "canonical_id", "left_anti"), step.select(F.col("alias").alias("canonical_id"), F.col("canonical_id").alias("next"))
-    for _ in range(most - 1):
-        rest = rest.join(more, "canonical_id").select("alias", F.col("next").alias("canonical_id"))
-        found = found.unionByName(rest.join(ends, "canonical_id", "left_semi"))
-        rest = rest.join(ends, "canonical_id", "left_anti")
-    return found.select("alias", F.col("canonical_id").alias("stable_id")).distinct()
+def chase(aliases: DataFrame, docs: DataFrame) -> DataFrame:
+    """(alias, stable_id) along chains of aliases of any length; those that end nowhere, or run in a circle, drop out.
+
+    Each round doubles the steps taken, so a chain of n aliases takes about log n rounds; the rounds end when no pointer moves.
+    """
+    from ..session import cut_lineage
+
+    held = docs.select(F.col("stable_id").alias("canonical_id")).distinct()
+    step = cut_lineage(aliases.select("alias", "canonical_id").distinct().join(held.withColumn("held", F.lit(True)), "canonical_id", "left").withColumn("held", F.coalesce("held", F.lit(False))).select("alias", "canonical_id", "held"))
+    limit = max(1, step.count()).bit_length() + 1  # a longer walk than there are aliases is a circle
+    for _ in range(limit):
+        onward = step.select(F.col("alias").alias("canonical_id"), F.col("canonical_id").alias("next"), F.col("held").alias("next_held"))
+        if step.filter(~F.col("held")).join(onward, "canonical_id").isEmpty():
+            break
+        moved = step.filter(~F.col("held")).join(onward, "canonical_id").select("alias", F.col("next").alias("canonical_id"), F.col("next_held").alias("held"))
+        step = cut_lineage(step.filter("held").unionByName(moved).distinct())
+    return step.filter("held").select("alias", F.col("canonical_id").alias("stable_id")).distinct()

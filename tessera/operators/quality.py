@@ -22,10 +22,6 @@ def pending_but_held(rel: DataFrame, docs: DataFrame) -> DataFrame:
     return rel.filter(F.col("status") == "pending").join(docs.select(F.col("stable_id").alias("candidate_id")), "candidate_id", "left_semi")
 
 
-def resolved_without_target(rel: DataFrame) -> DataFrame:
-    return rel.filter((F.col("status") == "resolved") & F.col("dst_id").isNull())
-
-
 def alias_dangling(aliases: DataFrame, docs: DataFrame) -> DataFrame:
     return dangling(aliases, docs)
 
@@ -40,10 +36,15 @@ def kind_mismatch(rel: DataFrame, docs: DataFrame, doc_types: tuple[str, ...], a
     return rel.join(kinds, "dst_id").filter(F.col("doc_type").isin(*doc_types) & F.col("dst_anchor").rlike(anchors))
 
 
+def with_lateness(rel: DataFrame, citing: DataFrame) -> DataFrame:
+    """Edges with days_late: how long after the citing document what it cites is dated."""
+    dates = citing.select(F.col("stable_id").alias("src_id"), "decision_date")
+    return rel.join(dates, "src_id").withColumn("days_late", F.datediff("event_date", "decision_date"))
+
+
 def forward_citation(rel: DataFrame, citing: DataFrame, days: int = 365) -> DataFrame:
     """Edges to something dated more than `days` after the citing document."""
-    dates = citing.select(F.col("stable_id").alias("src_id"), "decision_date")
-    return rel.join(dates, "src_id").filter(F.datediff("event_date", "decision_date") > days)
+    return with_lateness(rel, citing).filter(F.col("days_late") > days)
 
 
 def anachronistic(rel: DataFrame, citing: DataFrame) -> DataFrame:
@@ -66,27 +67,47 @@ def duplicate_spans(rel: DataFrame, *key: str) -> DataFrame:
     return rel.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") > 1)
 
 
-def undated(docs: DataFrame) -> DataFrame:
-    return docs.filter(F.col("decision_date").isNull())
+def paragraph_after_case(cites: DataFrame, most: int = 10) -> DataFrame:
+    """Carried-forward `para` references that begin 0 to `most` characters behind the end of a case: the case's own pinpoint, given to something else.
+
+    cites: (src_id, citation_id, char_start, char_end, kind, method, raw); ends and starts meet in bins of the band.
+    """
+    width = most + 1
+    near = cites.filter(F.col("kind").isin("case", "opinion")).select("src_id", F.col("char_end").alias("end"), F.explode(F.sequence(F.floor(F.col("char_end") / width), F.floor((F.col("char_end") + most) / width))).alias("bin"))
+    carried = cites.filter((F.col("method") == "carry_forward") & F.lower("raw").startswith("para")).withColumn("bin", F.floor(F.col("char_start") / width))
+    return carried.join(near, ["src_id", "bin"]).filter((F.col("char_start") - F.col("end")).between(0, most)).select("citation_id", "src_id", "end")
+
 
+def paragraph_in_judgment(cites: DataFrame, docs: DataFrame) -> DataFrame:
+    """Carried-forward `para` references of judgments, decisions and opinions."""
+    of = docs.filter(F.col("doc_type").isin("judgment", "decision", "opinion")).select(F.col("stable_id").alias("src_id"))
+    return cites.filter((F.col("method") == "carry_forward") & F.lower("raw").startswith("para")).join(of, "src_id", "left_semi")
 
-def inferred_resolved(rel: DataFrame) -> DataFrame:
-    return rel.filter((F.col("via") == "inferred") & (F.col("status") == "resolved"))
 
+def paragraph_of_eu_instrument(cites: DataFrame) -> DataFrame:
+    """Carried-forward pinpoints `para N` on instruments that are cited by article."""
+    return cites.filter(F.col("kind").isin("directive", "eu_instrument") & F.col("pinpoint").startswith("para ") & (F.col("method") == "carry_forward"))
 
-def nameless_pending(rel: DataFrame) -> DataFrame:
-    return rel.filter((F.col("status") == "pending") & F.col("candidate_id").isNull())
 
+def ambiguous_reporter(cites: DataFrame, docs: DataFrame, always: tuple[str, ...] = ("us/p/",), outside: tuple[str, ...] = ("us/a/", "us/f/", "us/so/"), home: str = "us-") -> DataFrame:
+    """References to a reporter whose abbreviation is an ordinary word: always for some, for others where the citing document isn't from home."""
+    starts = lambda heads: reduce(lambda a, b: a | b, (F.col("candidate_id").startswith(h) for h in heads))
+    foreign = docs.filter(~F.col("source").startswith(home)).select(F.col("stable_id").alias("src_id"))
+    first = cites.filter(starts(always))
+    return first.unionByName(cites.filter(starts(outside) & ~starts(always)).join(foreign, "src_id", "left_semi"))
 
-def reverse_edges(rel: DataFrame) -> DataFrame:
-    return rel.filter(F.col("type") == "cited_by")
 
+def foreign_statute(rel: DataFrame, docs: DataFrame, host: tuple[str, ...], targets: tuple[str, ...], via: tuple[str, ...] = ("regex", "inferred")) -> DataFrame:
+    """Edges made by a machine from documents of one jurisdiction to statutes of another that share their names."""
+    home = docs.filter(reduce(lambda a, b: a | b, (F.col("source").startswith(h) for h in host))).select(F.col("stable_id").alias("src_id"))
+    hit = reduce(lambda a, b: a | b, (F.col("dst_id").cast("string").startswith(h) for h in targets))
+    return rel.filter(F.col("via").isin(*via) & hit).join(home, "src_id", "left_semi")
 
-def near_citations(cites: DataFrame, most: int = 10) -> DataFrame:
-    """Pairs of references of one document of which the second starts 0 to `most` characters behind the first."""
-    from .joins import band_join
 
-    return band_join(cites, "src_id", "char_start", "citation_id", 0, most)
+def counted_once(rows: DataFrame, tests: dict) -> DataFrame:
+    """(probe, n) of probes that look at one row each, in one pass."""
+    counts = rows.agg(*(F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in tests.items()))
+    return counts.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, tests)), F.array(*tests))).alias("probe", "n"))
 
 
 def summary(probes: dict[str, DataFrame]) -> DataFrame:

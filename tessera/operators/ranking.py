@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SORTS: dict[str, list[Column]] = {}
+from ..session import cut_lineage
 
 
 def sort_order(name: str) -> list:
@@ -50,10 +50,31 @@ def collapse_versions(rows: DataFrame, family: str, version: str, rank: str) ->
     return rows.withColumn("first_rank", F.min(rank).over(w)).withColumn("__r", best).filter("__r = 1").drop("__r")
 
 
+def running_total(rows: DataFrame, order: list, amount: Column, name: str) -> DataFrame:
+    """rows with the sum of the amount over all rows up to this one in a total order.
+
+    Rows are dealt by ranges of the order; each task sums its own, and the totals of the ranges before, a row
+    for each range, are added, so no task sees all rows.
+    """
+    dealt = cut_lineage(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()).withColumn("__n", amount))
+    sums = dealt.groupBy("__range").agg(F.sum("__n").alias("__sum"))
+    before = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__range", "__before")
+    own = F.sum("__n").over(Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return dealt.join(F.broadcast(before), "__range").withColumn(name, own + F.col("__before")).drop("__range", "__n", "__before")  # before has a row for each partition
+
+
+def rank_all(rows: DataFrame, order: list, name: str = "rank") -> DataFrame:
+    """rows with their place from 1 in a total order of any number of rows."""
+    return running_total(rows, order, F.lit(1), name).withColumn(name, F.col(name).cast("int"))
+
+
 def percentile_among(rows: DataFrame, score: str, counted: Column) -> DataFrame:
     """rows with percentile: 100 * the share of counted rows that score as much or less; null for the others."""
-    inside = rows.filter(counted).withColumn("percentile", 100 * F.cume_dist().over(Window.orderBy(score)))
-    return inside.unionByName(rows.filter(~counted).withColumn("percentile", F.lit(None).cast("double")))
+    inside = rows.filter(counted)
+    total = inside.agg(F.count("*").alias("__all"))
+    steps = running_total(inside.groupBy(score).agg(F.count("*").alias("__here")), [F.col(score)], F.col("__here"), "__upto").drop("__here")
+    found = inside.join(steps, score).join(F.broadcast(total)).withColumn("percentile", 100.0 * F.col("__upto") / F.col("__all")).drop("__upto", "__all")  # total is one row
+    return found.unionByName(rows.filter(~counted).withColumn("percentile", F.lit(None).cast("double")), allowMissingColumns=True)
 
 
 def gap_groups(rows: DataFrame, by: str, start: str, end: str, most: float) -> DataFrame:

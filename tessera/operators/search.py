@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.legal import cosine
 from ..functions.text import tokens
+from .ranking import rank_all
 
 
 @dataclass(frozen=True)
@@ -164,12 +165,56 @@ def vector_top_k(vectors: DataFrame, query: list[float], k: int, ident: str = "v
     return vectors.select(ident, score.alias("score")).orderBy(F.desc("score"), ident).limit(k)
 
 
-def nearest_of_queries(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score, rank): the k nearest of each query, itself left out; queries is a stated set that is sent in blocks, checked for its size."""
-    pairs = vectors.join(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), F.col("vec_id") != F.col("query_id"))
-    scored = pairs.select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 9).alias("score"))
+#: Queries that are sent to all tasks at once.
+QUERY_BLOCK = 2048
+
+
+def nearest_of_queries(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, vec_id, score, rank): the k nearest of each query, itself left out.
+
+    queries is a stated set; it is taken in blocks of about `block` vectors, each a matrix that goes to all tasks.
+    A task scores its vectors as matrix products and keeps k a query, and those are merged.
+    """
+    n = queries.count()
+    parts = max(1, -(-n // block))
+    found = [_nearest(vectors, queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == p) if parts > 1 else queries, k) for p in range(parts)]
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    import numpy as np
+    import pyarrow as pa
+
+    rows = queries.select("vec_id", "embedding").filter(F.col("embedding").isNotNull()).collect()  # about a block
+    q_ids = np.array([r["vec_id"] for r in rows], np.int64)
+    q = np.array([r["embedding"] for r in rows], np.float64).reshape(len(rows), -1)
+    q = q / np.maximum(np.sqrt((q * q).sum(1)), 1e-300)[:, None]
+    shared = vectors.sparkSession.sparkContext.broadcast((q_ids, q))
+
+    def best(ids: np.ndarray, query: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.lexsort((ids, -score, query))
+        first = np.searchsorted(query[order], query[order])
+        keep = order[np.arange(len(order)) - first < k]
+        return ids[keep], query[keep], score[keep]
+
+    def run(batches):
+        q_ids, q = shared.value
+        held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for b in batches:
+            if not b.num_rows or not len(q_ids):
+                continue
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            v = np.stack([np.asarray(x, np.float64) for x in b.column(1).to_numpy(zero_copy_only=False)])
+            norm = np.sqrt((v * v).sum(1))
+            score = np.round(v @ q.T / np.maximum(norm, 1e-300)[:, None], 9)
+            score[ids[:, None] == q_ids[None, :]] = -np.inf
+            top = np.partition(score, max(0, len(ids) - k), axis=0)[max(0, len(ids) - k)]  # the k-th best of each query
+            i, j = np.nonzero((score >= top[None, :]) & np.isfinite(score))
+            held = best(np.r_[held[0], ids[i]], np.r_[held[1], q_ids[j]], np.r_[held[2], score[i, j]])
+        yield pa.RecordBatch.from_arrays([pa.array(held[1]), pa.array(held[0]), pa.array(held[2])], names=["query_id", "vec_id", "score"])
+
+    return vectors.filter(F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "query_id long, vec_id long, score double")
 
 
 def ranked(rows: DataFrame, order: list) -> DataFrame:
@@ -192,7 +237,7 @@ def containment(hits: DataFrame) -> DataFrame:
 def authority_prior(candidates: DataFrame, authority: DataFrame, key: str = "doc_id") -> DataFrame:
     """Candidates that have an authority row, once each, ranked by it; it brings in no others."""
     known = candidates.select(key).distinct().join(authority.select(F.col("node").alias(key), "rank").withColumnRenamed("rank", "pagerank"), key)
-    return ranked(known, [F.desc("pagerank"), F.asc(key)])
+    return rank_all(known, [F.desc("pagerank"), F.asc(key)])
 
 
 def recall_and_mrr(found: DataFrame, queries: DataFrame, relevant: Column) -> DataFrame:

@@ -231,7 +231,7 @@ def scalar_backoff(t: Tables) -> DataFrame:
     return t.events.filter("event_type = 'error'").groupBy("user_id").agg(L.backoff_days(F.count("*")).alias("days"))
 
 
-@query("SELECT stable_id, CAST(coalesce(decision_date, CASE WHEN stable_id % 20 = 0 THEN DATE '2001-12-31' END) AS VARCHAR) AS date, CASE WHEN decision_date IS NOT NULL THEN 'decision_date' WHEN stable_id % 20 = 0 THEN 'id_year' END AS origin FROM docs_l", "docs_l")
+@query("SELECT stable_id, CAST(coalesce(decision_date, CASE WHEN stable_id % 20 = 0 THEN DATE '2001-12-31' END) AS VARCHAR) AS date, CASE WHEN decision_date IS NOT NULL THEN 'decision_date' WHEN stable_id % 20 = 0 THEN 'identifier' ELSE 'none' END AS origin FROM docs_l", "docs_l")
 def scalar_effective_date(t: Tables) -> DataFrame:
     ident = F.when(F.col("stable_id") % 20 == 0, F.concat(F.lit("uksc/2001/"), "stable_id")).otherwise(F.col("stable_id").cast("string"))
     rows = t.docs_l.select("stable_id", L.effective_date(F.col("decision_date"), ident).alias("e"))
@@ -250,9 +250,9 @@ def scalar_matcher_ladder(t: Tables) -> DataFrame:
     return m.select("id", "m.matcher", "m.candidate")
 
 
-@query("SELECT doc_id, lower(strip_accents(left(text, 60))) AS folded FROM documents")
+@query("SELECT doc_id, lower(strip_accents(text)) AS folded FROM documents")
 def scalar_fold(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", X.fold_latin(F.left("text", F.lit(60))).alias("folded"))
+    return t.documents.select("doc_id", X.fold_latin(F.col("text")).alias("folded"))
 
 
 @query("SELECT stable_id, round(power(0.5, greatest(0, CASE WHEN decision_date IS NULL THEN 15.0 ELSE 2026 - year(decision_date) END) / 10), 9) AS weight FROM docs_l", "docs_l")

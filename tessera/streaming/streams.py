@@ -57,8 +57,11 @@ def run_once(stream: DataFrame, path: str, checkpoint: str) -> None:
     stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).format("parquet").option("path", path).outputMode("append").start().awaitTermination()
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """The final state of a small aggregate, in memory; for tests and reports."""
-    q = stream.writeStream.trigger(availableNow=True).format("memory").queryName(name).outputMode(mode).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
+    """The final state of an aggregate, as Parquet in a shared folder: each micro-batch replaces the table, and nothing passes through the driver."""
+
+    def replace(rows: DataFrame, _: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/rows")
+
+    stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").outputMode("complete").foreachBatch(replace).start().awaitTermination()
+    return stream.sparkSession.read.parquet(f"{folder}/rows")

@@ -46,7 +46,7 @@ def test_version_suffix(spark):
 
 def test_effective_date_ladder(spark):
     of = lambda i: one(spark, L.effective_date(F.lit(None).cast("date"), F.lit(i)))
-    assert of("ECLI:EU:C:2020:559")["date"] == dt.date(2020, 12, 31) and of("uksc/2019/4")["origin"] == "id_year" and of("nothing")["date"] is None
+    assert of("ECLI:EU:C:2020:559")["date"] == dt.date(2020, 12, 31) and of("uksc/2019/4")["origin"] == "identifier" and of("nothing")["origin"] == "none"
 
 
 def test_fold_and_anchor(spark):
@@ -64,11 +64,18 @@ def test_matchers_take_the_first_shape(spark):
 
 
 def test_pagerank_on_a_small_graph(spark):
-    e = spark.createDataFrame([("b", "a"), ("c", "a"), ("c", "b"), ("d", "a"), ("d", "b")], "src string, dst string")
-    rank = {r["node"]: r["rank"] for r in G.pagerank(e, 6).collect()}
-    assert rank["a"] > rank["b"] > rank["c"] and sum(rank.values()) == pytest.approx(1)
-    auth = {r["node"]: r for r in G.authority(e, iterations=2).collect()}
-    assert auth["a"]["percentile"] == 100 and auth["a"]["in_degree"] == 3 and auth["c"]["percentile"] is None
+    # a ring of three, one more page that points into it, and a page that points nowhere
+    e = spark.createDataFrame([("p", "q"), ("q", "r"), ("r", "p"), ("s", "q"), ("q", "t")], "src string, dst string")
+    want = dict.fromkeys("pqrst", 0.2)
+    for _ in range(12):
+        lost = want["t"]
+        given = {"p": want["r"], "q": want["p"] + want["s"], "r": want["q"] / 2, "s": 0.0, "t": want["q"] / 2}
+        want = {k: 0.03 + 0.17 * lost + 0.85 * v for k, v in given.items()}
+    rank = {r["node"]: r["rank"] for r in G.pagerank(e, 12).collect()}
+    assert rank == pytest.approx(want)
+    auth = {r["node"]: r for r in G.authority(e, iterations=12).collect()}
+    assert auth["q"]["percentile"] == 100 and (auth["q"]["in_degree"], auth["q"]["out_degree"]) == (2, 2) and auth["s"]["percentile"] is None
+    assert {k: auth[k]["percentile"] for k in "prt"} == {k: 100 * sum(round(rank[x], 12) <= round(rank[k], 12) for x in "pqrt") / 4 for k in "prt"}
 
 
 def test_decayed_rank_prefers_recent_citers(spark):
@@ -153,14 +160,15 @@ def test_rules_leave_manual_tags(spark):
     assert rows(got, "doc_id", "added_by") == [(1, "manual"), (2, "rule")]
 
 
-def test_treatment_takes_the_nearest_cue():
-    assert Tx.treatment("the court followed X but distinguished") == "distinguishes"
-    assert Tx.treatment("declined to follow") == "follows" or Tx.treatment("declined to follow") == "overrules"
-    assert Tx.treatment("applied", "legislation") is None and Tx.treatment("plain words") is None
+def test_treatment_takes_the_nearest_cue(spark):
+    of = lambda c, k=None: one(spark, Tx.treatment(F.lit(c), F.lit(k).cast("string")))
+    assert of("the court followed X but distinguished ") == "distinguishes" and of("We overruled A. It also noted ") == "considers"
+    assert of("it declined to follow ") == "follows"  # the later cue wins, even inside a longer one
+    assert of("applied", "legislation") is None and of("plain words") is None and of("considered") is None and of("It DISAPPROVED of ", "case") == "overrules"
 
 
-def test_sentences_and_chunks():
-    assert Tx.sentences("See Art. 5 of it. The end came. It did.") == ["See Art. 5 of it.", "The end came.", "It did."]
+def test_sentences_and_chunks(spark):
+    assert one(spark, Tx.sentences(F.lit("See Art. 5 of it. The end came. It did."))) == ["See Art. 5 of it.", "The end came.", "It did."]
     assert Tx.chunks("") == [] and Tx.chunks(None) == []
     text = "\n\n".join(f"Block {k} " + "word " * 30 for k in range(6))
     got = Tx.chunks(text, least=64)
