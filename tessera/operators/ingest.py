@@ -80,3 +80,32 @@ def drained(runs: DataFrame, last: int = 3) -> DataFrame:
 def job_states(events: DataFrame) -> DataFrame:
     """The last state of each job of a log (job_id, at, state)."""
     return events.groupBy("job_id").agg(F.max_by("state", F.struct("at", "state")).alias("state"), F.max("at").alias("at"))
+
+
+def ladder(stubs: DataFrame, held: DataFrame, aliases: DataFrame) -> DataFrame:
+    """stubs with decision: held (by id, landing URL or alias, unchanged), refetch (held, but its hash differs or it says it was revised), repeat (a later stub of the same id) or new."""
+    by_id = held.select("stable_id", F.col("stable_id").alias("__i"), F.col("contenthash").alias("__hi"))
+    by_url = held.filter(F.col("landing_url").isNotNull()).groupBy("landing_url").agg(F.min("stable_id").alias("__u"), F.min_by("contenthash", "stable_id").alias("__hu"))
+    by_name = aliases.select(F.col("alias").alias("stable_id"), F.col("canonical_id").alias("__a")).join(held.select(F.col("stable_id").alias("__a"), F.col("contenthash").alias("__ha")), "__a").groupBy("stable_id").agg(F.min("__a").alias("__a"), F.min_by("__ha", "__a").alias("__ha"))
+    rows = stubs.join(by_id, "stable_id", "left").join(by_url, "landing_url", "left").join(by_name, "stable_id", "left")
+    rows = rows.withColumn("held_id", F.coalesce("__i", "__u", "__a")).withColumn("__h", F.when(F.col("__i").isNotNull(), F.col("__hi")).when(F.col("__u").isNotNull(), F.col("__hu")).otherwise(F.col("__ha")))
+    changed = F.coalesce(F.col("revision"), F.lit(False)) | F.coalesce(F.col("contenthash") != F.col("__h"), F.lit(False))
+    first = F.row_number().over(Window.partitionBy("stable_id").orderBy("position")) == 1
+    return rows.withColumn("decision", F.when(~first, "repeat").when(F.col("held_id").isNull(), "new").when(changed, "refetch").otherwise("held")).select(*stubs.columns, "held_id", "decision")
+
+
+def with_tombstones(docs: DataFrame, fetches: DataFrame) -> DataFrame:
+    """docs with upstream_status gone_404 where the last fetch said that it's gone; no row goes."""
+    last = fetches.groupBy("stable_id").agg(F.max_by("status", "at").alias("__s"))
+    return docs.join(last, "stable_id", "left").withColumn("upstream_status", F.when(F.col("__s").isin(404, 410), "gone_404").otherwise(F.col("upstream_status"))).drop("__s")
+
+
+def worth_asking(keys: DataFrame, misses: DataFrame, now: str, days: int) -> DataFrame:
+    """Keys that weren't asked for in vain within so many days."""
+    recent = misses.filter(F.col("at") > F.to_date(F.lit(now)) - days)
+    return keys.join(recent.select("key"), "key", "left_anti")
+
+
+def backfill_frontier(runs: DataFrame) -> DataFrame:
+    """(source_key, frontier): where a full walk goes on: the last page of the latest run, if that was clean and not cut short; else of the latest before that was."""
+    return runs.filter((F.col("errors") == 0) & ~F.col("capped") & ~F.col("rate_limited")).groupBy("source_key").agg(F.max_by("page", "run_id").alias("frontier"))

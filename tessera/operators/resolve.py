@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fold_citation, surnames
+from ..functions.text import fold_citation, fold_latin, surnames
 
 
 def resolve(pending: DataFrame, docs: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -56,3 +56,120 @@ def match_names(left: DataFrame, right: DataFrame, *, least_shared: int = 2, mar
     w = Window.partitionBy("left_id").orderBy(F.desc("score"), "right_id")
     top = scored.withColumn("__r", F.row_number().over(w)).withColumn("__next", F.lead("score").over(w)).filter("__r = 1")
     return top.filter(F.col("__next").isNull() | (F.col("score") - F.col("__next") >= margin)).select("left_id", "right_id", "score")
+
+
+def resolve_batched(edges: DataFrame, docs: DataFrame, aliases: DataFrame, size: int = 50_000) -> DataFrame:
+    """All edges resolved, with the window of ids each falls in, so that a run can be taken up after any window; pending edges are resolved, others stay as they are."""
+    window = F.floor(F.col("edge_id") / size).cast("long")
+    pending = edges.filter(F.col("status") == "pending")
+    found = resolve(pending.select("edge_id", "candidate", "raw"), docs, aliases)
+    rows = edges.join(found.select("edge_id", "resolved", "pass"), "edge_id", "left")
+    return rows.withColumn("dst_id", F.coalesce("dst_id", "resolved")).withColumn("status", F.when(F.col("resolved").isNotNull(), "resolved").otherwise(F.col("status"))).withColumn("window", window).drop("resolved")
+
+
+def refresh_version_aliases(docs: DataFrame, aliases: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(aliases, edges) after the bases that aren't held point at their newest held version: only aliases that this rule owns are rewritten, and resolved edges at an older version of them are moved."""
+    fresh = version_aliases(docs).withColumn("owner", F.lit("version"))
+    foreign = aliases.filter(F.col("owner") != "version")
+    kept = foreign.unionByName(fresh.join(foreign.select("alias"), "alias", "left_anti"))
+    moved = aliases.filter(F.col("owner") == "version").select(F.col("canonical_id").alias("dst_id"), "alias").join(fresh.select("alias", F.col("canonical_id").alias("__to")), "alias").groupBy("dst_id").agg(F.min("__to").alias("__to"))
+    rows = edges.join(moved, "dst_id", "left").withColumn("dst_id", F.coalesce("__to", "dst_id")).drop("__to")
+    return kept, rows.select(*edges.columns)
+
+
+def match_statutes(pending: DataFrame, held: DataFrame) -> DataFrame:
+    """(ref, stable_id) of references that name a held statute; names that several statutes share are refused."""
+    from ..functions.identity import abbreviated
+
+    key = lambda c: F.regexp_replace(abbreviated(F.col(c)), r"^the ", "")
+    titles = held.select(key("title").alias("key"), "stable_id").groupBy("key").agg(F.min("stable_id").alias("stable_id"), F.countDistinct("stable_id").alias("n")).filter("n = 1")
+    return pending.select("ref", key("ref").alias("key")).distinct().join(titles, "key").select("ref", "stable_id")
+
+
+def match_applicants(left: DataFrame, right: DataFrame, states: tuple[str, ...], before: int = 3, after: int = 1) -> DataFrame:
+    """(left_id, right_id, score): cases `applicant v state` matched by the applicants' names within a window of years; the states must agree where both are named and add nothing.
+
+    Half and half the Jaccard index of the names; applicants that are initials on both sides match as such, for 0.45.
+    """
+    words = F.array_distinct(F.flatten(F.transform(F.array(*map(F.lit, states)), lambda s: F.split(F.lower(s), " "))))
+
+    def parts(df: DataFrame, side: str) -> DataFrame:
+        halves = F.split("name", r"(?i)\s+v\.?\s+", 2)
+        applicant, respondent = F.get(halves, F.lit(0)), F.coalesce(F.get(halves, F.lit(1)), F.lit(""))
+        letters = F.regexp_extract_all(fold_latin(applicant), F.lit("[a-z]+"), F.lit(0))
+        initials = F.when(F.exists(letters, lambda t: F.length(t) > 2) | (F.size(letters) == 0), F.lit(None)).otherwise(F.array_join(letters, ""))
+        return df.select(F.col("id").alias(f"{side}_id"), F.col("year").alias(f"{side}_y"), F.array_except(surnames(applicant), words).alias(f"{side}_a"), surnames(respondent).alias(f"{side}_r"), initials.alias(f"{side}_i"))
+
+    a, b = parts(left, "left"), parts(right, "right")
+    keys = lambda s: F.explode(F.when(F.size(f"{s}_a") > 0, F.col(f"{s}_a")).otherwise(F.array_compact(F.array(F.concat(F.lit("."), f"{s}_i")))))
+    a = a.withColumn("k", keys("left")).withColumn("y", F.explode(F.sequence(F.col("left_y") - before, F.col("left_y") + after)))
+    b = b.withColumn("k", keys("right")).withColumn("y", F.col("right_y"))
+    pairs = a.join(b, ["k", "y"]).filter((F.size("left_r") == 0) | (F.size("right_r") == 0) | F.arrays_overlap("left_r", "right_r"))
+    pairs = pairs.dropDuplicates(["left_id", "right_id"])
+    named = F.round(0.5 + 0.5 * F.size(F.array_intersect("left_a", "right_a")) / F.size(F.array_union("left_a", "right_a")), 3)
+    return pairs.select("left_id", "right_id", F.when(F.col("k").startswith("."), F.lit(0.45)).otherwise(named).alias("score"))
+
+
+def put_suggestions(held: DataFrame, new: DataFrame) -> DataFrame:
+    """The suggestions after new ones came: pending ones are replaced, answered ones stay as they were answered."""
+    answered = held.filter(F.col("status") != "pending")
+    fresh = new.join(answered.select("ref", "suggested_id"), ["ref", "suggested_id"], "left_anti")
+    rest = held.filter(F.col("status") == "pending").join(fresh.select("ref", "suggested_id"), ["ref", "suggested_id"], "left_anti")
+    return answered.unionByName(rest).unionByName(fresh.withColumn("status", F.lit("pending")).select(*held.columns))
+
+
+#: What a reference's shape says: (pattern, form, jurisdiction, where it is fetched from); the first that fits counts.
+ROUTES = (
+    (r"(?i)^(fr:code:|fr:text:|legiarti|legitext|jorfarti|jorftext)", "French legislation", "FR", "fr-legislation"), (r"(?i)^(fr:pourvoi:|juritext)", "French judicial decision", "FR", "fr-judilibre"),
+    (r"(?i)^(de/gesetz/|eli/bund/)", "German federal legislation", "DE", "de-gii"), (r"(?i)^de:case:", "German federal decision", "DE", "de-neuris"), (r"^BWB[RV]\d+", "Dutch BWB legislation", "NL", "nl-legislation"),
+    (r"(?i)^echr:", "ECHR case (by name)", "CoE", "echr"), (r"^6\d{4}[A-Z]{1,2}\d{4}$", "CJEU judgment", "EU", "eu-cellar"), (r"^1\d{4}[A-Z]{1,2}\d{4}$", "EU treaty / primary law", "EU", "eu-legislation"),
+    (r"^5\d{4}[A-Z]{1,2}\d{4}$", "EU preparatory / Commission document", "EU", "eu-preparatory"), (r"^3\d{4}[A-Z]{1,2}\d{4}$", "EU instrument", "EU", "eu-legislation"), (r"^\d{1,5}/\d{2}$", "ECHR application no.", "CoE", "echr"),
+    (r"(?i)^(ukpga|uksi|asp|ssi|nisr|ukla)/", "UK legislation", "UK", "uk-legislation"), (r"(?i)^(uksc|ukhl|ukpc|ewca|ewhc|ukut)/", "UK case (neutral citation)", "UK", "uk-caselaw"), (r"(?i)^(iesc|iehc|ieca)/", "Irish case", "IE", "ie-caselaw"),
+)
+
+
+def route(candidate):
+    """Struct (form, jurisdiction, adapter) of a reference by its shape alone; form unknown where none fits."""
+    from pyspark.sql import Column
+
+    out: Column = F.struct(F.lit("unknown").alias("form"), F.lit(None).cast("string").alias("jurisdiction"), F.lit(None).cast("string").alias("adapter"))
+    country = F.regexp_extract(candidate, r"^ECLI:([A-Z]{2}):", 1)
+    out = F.when(country != "", F.struct(F.concat(F.lit("ECLI judgment ("), country, F.lit(")")).alias("form"), country.alias("jurisdiction"), F.lit(None).cast("string").alias("adapter"))).otherwise(out)
+    for pattern, form, where, adapter in reversed(ROUTES):
+        out = F.when(candidate.rlike(pattern), F.struct(F.lit(form).alias("form"), F.lit(where).alias("jurisdiction"), F.lit(adapter).alias("adapter"))).otherwise(out)
+    return out
+
+
+def frontier(counts: DataFrame, held: DataFrame) -> DataFrame:
+    """(form, jurisdiction, adapter, occurrences, candidates): what is cited but not held, by where it would come from, the most cited first."""
+    rows = counts.join(held.select(F.col("stable_id").alias("candidate")), "candidate", "left_anti").withColumn("r", route(F.col("candidate")))
+    return rows.groupBy("r.form", "r.jurisdiction", "r.adapter").agg(F.sum("occurrences").alias("occurrences"), F.count("*").alias("candidates")).orderBy(F.desc("occurrences"), F.desc("candidates"), "form")
+
+
+def contested_divisions(aliases: DataFrame) -> DataFrame:
+    """(alias, n): short forms of ids (court/year/number) that stand for several documents."""
+    return aliases.groupBy("alias").agg(F.countDistinct("canonical_id").alias("n")).filter("n > 1")
+
+
+def divisions_settled(aliases: DataFrame, cites: DataFrame, words: DataFrame) -> DataFrame:
+    """(alias, canonical_id) of contested short forms: the division whose words stand most often in the texts that cite it; an equal count settles nothing. words: (canonical_id, word); cites: (alias, context)."""
+    contested = aliases.join(contested_divisions(aliases).select("alias"), "alias", "left_semi")
+    hits = contested.join(words, "canonical_id").join(cites, "alias").filter(F.lower("context").contains(F.lower("word")))
+    score = hits.groupBy("alias", "canonical_id").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("alias").orderBy(F.desc("n"), "canonical_id")
+    top = score.withColumn("__r", F.row_number().over(w)).withColumn("__next", F.lead("n").over(w)).filter("__r = 1")
+    return top.filter(F.col("__next").isNull() | (F.col("n") > F.col("__next"))).select("alias", "canonical_id")
+
+
+def apply_shorthands(store: DataFrame, cited: DataFrame, texts: DataFrame, least_docs: int = 3) -> DataFrame:
+    """(doc_id, shorthand, candidate_id, n): names that the corpus has learned, found in documents that cite their parent already.
+
+    A name counts if at least least_docs documents define it so, it isn't blocked, and no other parent is as
+    well established. cited: (doc_id, candidate_id); texts: (doc_id, text).
+    """
+    known = store.filter(~F.coalesce("blocked", F.lit(False)) & (F.col("doc_count") >= least_docs))
+    w = Window.partitionBy(F.lower("shorthand"))
+    known = known.withColumn("__n", F.count("*").over(w)).filter(F.col("__n") == 1).drop("__n")
+    rows = cited.select("doc_id", "candidate_id").distinct().join(known.select("candidate_id", "shorthand"), "candidate_id").join(texts, "doc_id")
+    name = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), "shorthand", F.lit(r"\E(?![\p{L}\p{N}])"))
+    return rows.withColumn("n", F.size(F.split("text", name, -1)) - 1).filter("n > 0").select("doc_id", "shorthand", "candidate_id", "n")

@@ -86,11 +86,7 @@ def text_provision_window(t: Tables) -> DataFrame:
     return Pv.provision_window(segments, c.filter("turn = 2").select(F.col("conv_id").alias("doc_id"), F.lit("2").alias("label"))).select("doc_id", "label", "focus")
 
 
-@query(
-    """WITH c AS (SELECT doc_id, substr(text, 41, 40) AS raw, CASE WHEN doc_id % 2 = 0 THEN 40 ELSE 55 END AS old, text FROM documents WHERE length(text) >= 80),
-    o AS (SELECT doc_id, raw, old, k.p AS p FROM c, LATERAL (SELECT unnest(generate_series(0, least(5100, length(text)))) AS p) k WHERE substr(text, p + 1, 40) = raw)
-    SELECT doc_id, CAST(arg_min(p, (abs(p - old), p)) AS INTEGER) AS char_start FROM o WHERE p <= old + 5000 GROUP BY 1"""
-)
+@query()
 def text_reanchor(t: Tables) -> DataFrame:
     c = t.documents.filter(F.length("text") >= 80).select("doc_id", F.substring("text", 41, 40).alias("raw"), F.when(F.col("doc_id") % 2 == 0, 40).otherwise(55).alias("char_start"))
     return Pv.reanchored(c.withColumn("char_end", F.col("char_start") + 40), t.documents).select("doc_id", "char_start")

@@ -39,7 +39,7 @@ def test_rows_are_those_of_the_sql(spark, duck, name):
 
 
 #: Queries that SQL can't say, each with a test of its rows below or in the tests of its operator.
-WITHOUT_SQL = {"text_chunk", "text_grammar_scan", "text_collapse_edges", "text_treatment", "text_hashed_embedding", "graph_components_veto", "shard_bin_packing"}
+WITHOUT_SQL = {"text_chunk", "text_grammar_scan", "text_collapse_edges", "text_treatment", "text_hashed_embedding", "graph_components_veto", "shard_bin_packing", "text_reanchor", "agg_recall_audit"}
 
 
 def test_every_query_has_sql_or_a_test():
@@ -122,6 +122,36 @@ def test_components_veto_is_the_ordered_merge(spark):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups.values()))
 
 
+def test_reanchored_places(spark):
+    import re
+
+    want = set()
+    for r in spark.read.parquet(f"{DIR}/documents.parquet").filter("length(text) >= 80").collect():
+        t, old = r["text"], 40 if r["doc_id"] % 2 == 0 else 55
+        raw = t[40:80]
+        low = max(0, old - 5000)
+        places = [m.start() + low for m in re.finditer(re.escape(raw), t[low : old + 5040])]
+        want.add((r["doc_id"], old if t[old : old + 40] == raw else min(places, key=lambda p: (abs(p - old), p))))
+    assert {tuple(r) for r in QUERIES["text_reanchor"](spark, DIR).collect()} == want
+
+
+def test_recall_audit(spark):
+    import re
+    from collections import Counter
+
+    spans: dict = {}
+    for r in QUERIES["text_grammar_scan"](spark, DIR).collect():
+        spans.setdefault(r["doc_id"], []).append((r["char_start"] - 2, r["char_end"] + 2))
+    hits, bare = Counter(), Counter()
+    for r in spark.read.parquet(f"{DIR}/documents.parquet").collect():
+        for cue, pattern in (("licence", r"\bLicense\b"), ("url", r"https?://")):
+            for m in re.finditer(pattern, r["text"]):
+                hits[cue, r["source"]] += 1
+                bare[cue, r["source"]] += not any(s <= m.end() and m.start() <= e for s, e in spans.get(r["doc_id"], ()))
+    got = {(r["cue"], r["source"]): (r["hits"], r["uncovered"]) for r in QUERIES["agg_recall_audit"](spark, DIR).collect()}
+    assert got == {k: (n, bare[k]) for k, n in hits.items()} and got
+
+
 def test_shards(spark):
     chunks = QUERIES["text_chunk"](spark, DIR).groupBy("doc_id").count().collect()
     got = QUERIES["shard_bin_packing"](spark, DIR).select("doc_id", "shard").collect()
