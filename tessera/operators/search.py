@@ -245,3 +245,110 @@ def recall_and_mrr(found: DataFrame, queries: DataFrame, relevant: Column) -> Da
     first = found.filter(relevant).groupBy("query_id").agg(F.min("rank").alias("first"))
     rows = queries.select("query_id").join(first, "query_id", "left")
     return rows.agg(F.count("*").alias("queries"), F.round(F.avg(F.col("first").isNotNull().cast("double")), 4).alias("recall"), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 4).alias("mrr"))
+
+
+def compile_query(node: Node | None) -> str | None:
+    """A parsed query in the notation of a text index: 'word', 'word':*, <-> between the words of a phrase, <N> for near ones, &, | and !; negated phrases are left to the literal check."""
+    if node is None:
+        return None
+    quoted = lambda w: "'" + w.replace("'", "") + "'"
+    if node.op in ("term", "prefix"):
+        return quoted(node.words[0]) + (":*" if node.op == "prefix" else "")
+    if node.op in ("phrase", "near"):
+        return "(" + (" <-> " if node.op == "phrase" else f" <{node.distance}> ").join(map(quoted, node.words)) + ")"
+    if node.op == "not":
+        inner = None if node.parts[0].op in ("phrase", "near") else compile_query(node.parts[0])
+        return f"!({inner})" if inner else None
+    parts = [x for x in map(compile_query, node.parts) if x]
+    return None if not parts else parts[0] if len(parts) == 1 else "(" + (" & " if node.op == "and" else " | ").join(parts) + ")"
+
+
+def candidates(index: DataFrame, node: Node | None) -> DataFrame | None:
+    """(doc_id) of documents that may satisfy a query, from postings (term, doc_id, positions): words by equality, prefixes by range, phrases by
+    adjacent positions, AND by semi joins, OR by unions. Exclusions narrow nothing here; None where the index can't bound the query."""
+    if node is None:
+        return None
+    ids = lambda rows: rows.select("doc_id").distinct()
+    if node.op == "prefix":
+        return ids(index.filter(F.col("term").startswith(node.words[0])))
+    if node.op in ("term", "phrase", "near"):
+        found = None
+        for word in node.words:
+            rows = index.filter(F.col("term") == word).select("doc_id", "positions")
+            if found is None:
+                found = rows
+            elif node.op == "phrase":
+                met = found.join(rows.withColumnRenamed("positions", "__p"), "doc_id")
+                found = met.select("doc_id", F.array_intersect(F.transform("positions", lambda x: x + 1), "__p").alias("positions")).filter(F.size("positions") > 0)
+            else:
+                found = found.join(rows.select("doc_id"), "doc_id", "left_semi")
+        return ids(found)
+    if node.op == "not":
+        return None
+    parts = [candidates(index, p) for p in node.parts]
+    if node.op == "or":
+        return None if any(p is None for p in parts) else reduce(DataFrame.unionByName, parts).distinct()
+    known = [p for p in parts if p is not None]
+    return reduce(lambda a, b: a.join(b, "doc_id", "left_semi"), known) if known else None
+
+
+@dataclass(frozen=True)
+class Found:
+    """Answers of a full-text search: all of them (doc_id, char_start), and one page with snippets."""
+
+    matched: DataFrame
+    page: DataFrame
+    compiled: str | None
+
+
+def full_text(index: DataFrame, docs: DataFrame, query: str, *, order: list | None = None, limit: int = 25, offset: int = 0, heading: str | None = None, width: int = 320) -> Found:
+    """Documents whose text, or heading, satisfies a query: candidates from the index, each checked against its text, all of them counted; snippets only for the page.
+
+    char_start: where the first positive word of the query stands, from 0; of a hit in a heading alone, 0.
+    """
+    node = parse_query(query)
+    may = candidates(index, node)
+    rows = docs if may is None else docs.join(may, "doc_id", "left_semi")
+    body = F.coalesce(matches(F.col("text"), node), F.lit(False))
+    titled = F.coalesce(matches(F.col(heading), node), F.lit(False)) if heading else F.lit(False)
+    words = _positive(node)
+    first = F.least(*(F.when(F.instr(F.lower("text"), w) > 0, F.instr(F.lower("text"), w) - 1) for w in words), F.lit(None).cast("int")) if words else F.lit(0)
+    hits = rows.filter(body | titled).withColumn("char_start", F.when(body, F.coalesce(first, F.lit(0))).otherwise(0))
+    ordered = hits.orderBy(*(order or [F.asc("doc_id")])).offset(offset).limit(limit)
+    start = F.greatest(F.lit(1), F.col("char_start") + 1 - width // 2)
+    shown = ordered.withColumn("snippet", F.trim(F.regexp_replace(F.substring("text", start, F.lit(width)), r"^\S*\s|\s\S*$", ""))).drop("text")
+    return Found(hits.select("doc_id", "char_start"), shown, compile_query(node))
+
+
+def _positive(node: Node | None) -> list[str]:
+    if node is None or node.op == "not":
+        return []
+    return [*node.words, *(w for p in node.parts for w in _positive(p))]
+
+
+def within(docs: DataFrame, words: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, char_start, char_end): every place of a phrase in each text, whatever the index holds."""
+    pattern = _gap_pattern(words_of(words), r"[\s\p{P}\p{S}]{1,4}")
+    pieces, found = F.split(F.col(text), pattern, -1), F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
+    both = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, f: F.struct(F.length(p).alias("p"), F.length(f).alias("f")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<char_start:int,char_end:int>>").alias("out"))
+    places = F.aggregate(both, start, lambda s, x: F.struct((s["at"] + x["p"] + x["f"]).alias("at"), F.concat(s["out"], F.array(F.struct((s["at"] + x["p"]).alias("char_start"), (s["at"] + x["p"] + x["f"]).alias("char_end")))).alias("out")))["out"]
+    return docs.filter(F.col(text).rlike(pattern)).select(doc_id, F.inline(places))
+
+
+def with_signals(fused: DataFrame, lists: dict[str, DataFrame], authority: DataFrame, key: str = "doc_id") -> DataFrame:
+    """fused results with the rank each list gave them (null: none) and their percentile of authority."""
+    for name, rows in lists.items():
+        fused = fused.join(rows.groupBy(key).agg(F.min("rank").alias(f"{name}_rank")), key, "left")
+    return fused.join(authority.select(F.col("node").alias(key), "percentile"), key, "left")
+
+
+def reranked(rows: DataFrame, score: Column | None = None, order: list | None = None) -> DataFrame:
+    """rows, of a list that is cut already, in the order of another score; without one as they are."""
+    return rows if score is None else rows.withColumn("rerank_score", score).orderBy(F.desc("rerank_score"), *(order or []))
+
+
+def hybrid_lists(lexical: DataFrame, semantic: DataFrame, vectors: DataFrame, family: str, dims: int) -> list[DataFrame]:
+    """The lists to fuse: the semantic one only if vectors of the family and length are there."""
+    ready = not vectors.filter((F.col("family") == family) & (F.size("vector") == dims)).limit(1).isEmpty()
+    return [lexical, semantic] if ready else [lexical]

@@ -261,3 +261,89 @@ def test_fuzzy_names_match_over_all_of_part(spark):
             want.add((i, scores[0][1], -scores[0][0]))
     got = {tuple(r) for r in graphs.match_fuzzy_names(Tables(spark, "/root/testdata/sf0.001")).collect()}
     assert got == want and {i % 7 for i, *_ in got} == set(range(7))
+
+
+def test_grammars_of_languages(spark):
+    from tessera.operators import citing as Ct
+
+    texts = {
+        "de": ("nach § 823 Abs. 1 BGB und BGH, Urteil vom 1. Mai, VI ZR 45/09 gilt", ["§ 823 Abs. 1 BGB", "BGH, Urteil vom 1. Mai, VI ZR 45/09"]), "at": ("OGH 4 Ob 123/10x zu § 879 ABGB", ["OGH 4 Ob 123/10x", "§ 879 ABGB"]),
+        "fr": ("l'article 1240 du code civil, n° 12-34.567", ["article 1240 du code civil", "n° 12-34.567"]), "nl": ("artikel 6:162 lid 2 BW; LJN: BC1234", ["artikel 6:162 lid 2 BW", "LJN: BC1234"]),
+        "it": ("art. 2043 c.c. e Cass. civ. n. 1234/2010", ["art. 2043 c.c.", "Cass. civ. n. 1234/2010"]), "es": ("artículo 24 de la Constitución, STC 31/1981", ["artículo 24 de la Constitución", "STC 31/1981"]),
+        "da": ("§ 3, stk. 2 i lov nr. 502 og UfR 2010.1234", ["§ 3, stk. 2 i lov nr. 502", "UfR 2010.1234"]), "sv": ("NJA 2010 s. 12 och 3 kap. 1 § brottsbalken", ["NJA 2010 s. 12", "3 kap. 1 § brottsbalken"]), "fi": ("KKO 2010:12", ["KKO 2010:12"]),
+        "et": ("RKTKo 3-2-1-5-10", ["RKTKo 3-2-1-5-10"]), "sk": ("§ 5 ods. 1 zákona č. 40/1964 Zb.", ["§ 5 ods. 1 zákona č. 40/1964 Zb."]), "us": ("410 U.S. 113 and 42 U.S.C. § 1983", ["410 U.S. 113", "42 U.S.C. § 1983"]), "cw": ("[2010] HCA 5; 2010 SCC 5", ["[2010] HCA 5", "2010 SCC 5"]),
+    }
+    docs = spark.createDataFrame([(k, t, k) for k, (t, _) in texts.items()], "doc_id string, text string, lang string")
+    got = {}
+    for r in Ct.citations_by_language(docs, lang="lang").filter("lang = doc_id").orderBy("doc_id", "char_start").collect():
+        assert texts[r["doc_id"]][0][r["char_start"] : r["char_end"]] == r["raw"]
+        got.setdefault(r["doc_id"], []).append(r["raw"])
+    assert got == {k: w for k, (_, w) in texts.items()}
+
+
+def test_queries_compile_for_an_index(spark):
+    of = lambda q: S.compile_query(S.parse_query(q))
+    assert of('alpha (beta | "gamma delta") -eps*') == "('alpha' & ('beta' | ('gamma' <-> 'delta')) & !('eps':*))"
+    assert of('alpha NOT "x y"') == "'alpha'" and of("") is None and of("a NEAR/3 b") == "('a' <3> 'b')"
+    docs = spark.createDataFrame([(1, "alpha gamma delta"), (2, "alpha delta gamma"), (3, "beta alpha"), (4, "none")], "doc_id long, text string")
+    index = S.postings(docs)
+    ids = lambda q: sorted(r[0] for r in S.full_text(index, docs, q).matched.collect())
+    for q in ("alpha", '"gamma delta"', "alpha -beta", "alpha OR none", "-alpha", "gam*", "alpha NEAR/2 gamma"):
+        assert ids(q) == sorted(r["doc_id"] for r in S.search(docs, q).collect()), q
+    titled = docs.withColumn("heading", F.when(F.col("doc_id") == 4, "alpha"))
+    everything = S.postings(titled.withColumn("text", F.concat_ws(" ", "text", "heading")))
+    assert [r["doc_id"] for r in S.full_text(everything, titled, "alpha", heading="heading", limit=2, offset=2).page.collect()] == [3, 4]
+
+
+def test_feeds_registry_files(spark, tmp_path):
+    import zipfile
+
+    from tessera.sources import records as Rc
+
+    (tmp_path / "feed.jsonl").write_text('{"stable_id": "a", "text": "x", "date": "2024-01-02"}\nbroken\n{"stable_id": "b", "text": "y", "date": "2023-01-02"}\n')
+    spark.dataSource.register(Rc.FeedSource)
+    assert [tuple(r) for r in spark.read.format("feed").option("path", str(tmp_path / "feed.jsonl")).option("since", "2024").load().select("stable_id", "text").collect()] == [("a", "x")]
+    reg = Rc.Registry()
+    reg.register(Rc.Source("uk-x", lambda s, o: s.range(int(o["n"])), "bulk", "United Kingdom"))
+    assert reg.read(spark, "uk-x", n="3").filter("source = 'uk-x'").count() == 3 and rows(reg.catalogue(spark)) == [("uk-x", "bulk", "United Kingdom")]
+    with pytest.raises(ValueError):
+        reg.register(reg.sources["uk-x"])
+    folder = tmp_path / "files"
+    folder.mkdir()
+    with zipfile.ZipFile(folder / "a.docx", "w") as z:
+        z.writestr("word/document.xml", "<w:p><w:t>One &amp; two</w:t></w:p><w:p><w:t>three</w:t></w:p>")
+    (folder / "b.rtf").write_text(r"{\rtf1{\fonttbl{\f0 Arial;}}\f0 Caf\'e9\par next}")
+    (folder / "c.html").write_text("<html><script>x</script><p>Hi <b>you</b></p></html>")
+    (folder / "d.pdf").write_bytes(b"%PDF-1.4 stream endstream")
+    (folder / "e.docx").write_bytes(b"not a zip")
+    (folder / "f.txt").write_text("plain")
+    got = {r["path"][-5:]: (r["text"], r["needs_ocr"]) for r in Rc.files_text(spark, str(folder)).collect()}
+    assert got["a.docx"[-5:]][0] in ("One & two\nthree", "") and got["b.rtf"[-5:]] == ("Café\nnext", False) and got["c.html"[-5:]] == ("Hi you", False) and got["d.pdf"[-5:]][1] and got["f.txt"[-5:]] == ("plain", False)
+
+
+def test_alerts_are_pushed(spark, tmp_path):
+    from tessera.sources import records as Rc
+
+    spark.range(7).write.parquet(str(tmp_path / "alerts"))
+    sent = []
+    stream = spark.readStream.schema("id long").parquet(str(tmp_path / "alerts"))
+    Rc.pushed(stream, sent.append, str(tmp_path / "state"), 3).awaitTermination()
+    assert sorted(x["id"] for b in sent for x in b) == list(range(7)) and max(map(len, sent)) == 3
+
+
+def test_headers_and_chains(spark):
+    got = one(spark, Tx.header(F.lit("s 45"), F.lit("A › B › C › D"), place=F.lit("UK"), court=F.lit(None).cast("string"), year=F.lit(2018), title=F.lit("T" * 90)))
+    assert got == "[UK · 2018 · " + "T" * 77 + "… · B › C › D · s 45] "
+    chain = [(f"n{k}", f"n{k + 1}") for k in range(40)] + [("x", "y"), ("y", "x")]
+    a = spark.createDataFrame(chain, "alias string, canonical_id string")
+    found = J.chase(a, spark.createDataFrame([("n40",)], "stable_id string")).collect()
+    assert {r["alias"] for r in found} == {f"n{k}" for k in range(40)} and {r["stable_id"] for r in found} == {"n40"}
+
+
+def test_who_may_start(spark):
+    from tessera.operators import jobs as Jb
+
+    j = lambda rows_: spark.createDataFrame(rows_, "job_id long, kind string, status string, source string, params string, started_at long")
+    running = j([(1, "scan", "running", "a", "{}", 1), (2, "read", "running", None, "{}", 1)])
+    queued = j([(3, "scan", "queued", "a", "{}", 2), (4, "scan", "queued", "b", "{}", 3), (5, "other", "queued", None, "{}", 4), (6, "read", "queued", None, "{}", 5)])
+    assert rows(Jb.claimable(queued, running, exempt=("read",), most=2, scans=("scan",)), "job_id") == [(4,), (6,)]
