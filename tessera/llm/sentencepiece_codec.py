@@ -16,6 +16,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +26,7 @@ from ._io import lean
 
 SPACE = "▁"
 #: Entries of a worker's chunk cache and characters in them; half of them are the older ones, dropped first.
-CACHE_ENTRIES, CACHE_CHARS = 600_000, 16 << 20
+CACHE_ENTRIES, CACHE_CHARS = 300_000, 8 << 20
 #: Longest part merged without a heap.
 SHORT = 40
 NONE = float("-inf")
@@ -86,19 +87,15 @@ class Codec:
     def merge(self, text: str) -> list[int]:
         """Ids of a text without a dummy prefix, spaces already marked, by the agenda of adjacent pairs."""
         symbols = self._merge_short(text) if len(text) <= SHORT else self._merge_long(text)
-        ids: list[int] = []
-        for x in symbols:
-            i = self.id.get(x)
-            if i is not None:
-                ids.append(i)
-            else:
-                ids.extend([self.byte_of[v] for v in x.encode()])
+        ids = [*map(self.id.get, symbols)]
+        if None in ids:
+            return [v for x, i in zip(symbols, ids, strict=True) for v in ([i] if i is not None else [self.byte_of[b] for b in x.encode()])]
         return ids
 
     def _merge_short(self, text: str) -> list[str]:
         """The agenda as a list beside the symbols: its best entry is taken until none is left."""
         score, symbols = self.score.get, list(text)
-        agenda = [score(text[i : i + 2], NONE) for i in range(len(text) - 1)]
+        agenda = [score(a + b, NONE) for a, b in zip(text, text[1:])]
         while agenda:
             best = max(agenda)
             if best == NONE:
@@ -142,12 +139,11 @@ class Codec:
 
     def _new(self, chunk: str) -> list[int]:
         """Ids of a chunk, cut between characters that stand together in no piece."""
-        pairs, ids, first = self.pairs, [], 0
-        for k in range(1, len(chunk)):
-            if chunk[k - 1 : k + 1] not in pairs:
-                ids += self.merge(chunk[first:k])
-                first = k
-        return ids + self.merge(chunk[first:])
+        cuts = [k for k, p in enumerate(map(add, chunk, chunk[1:]), 1) if p not in self.pairs]
+        if not cuts:
+            return self.merge(chunk)
+        edges = [0, *cuts, len(chunk)]
+        return [i for a, z in zip(edges, edges[1:]) for i in self.merge(chunk[a:z])]
 
     def _fill(self, chunks: set[str]) -> None:
         """Put chunks in the cache: from its older half, else merged and checked against the library."""
@@ -167,7 +163,7 @@ class Codec:
             want = self.library.encode(["\n" + c for c in block], num_threads=1)
             for c, ids in zip(block, want, strict=True):
                 got = self._new(c)
-                if got != ids[head:] or self._plain(got) != c.replace(SPACE, " "):
+                if got != ids[head:]:
                     raise AssertionError(f"the agenda and the library differ on {c!r}: {got} and {ids[head:]}")
                 self.new[c] = ",".join(map(str, got))
 
