@@ -161,7 +161,7 @@ def learn(texts: list[str], toxic: list[int], weights: list[float] | None = None
             stems.add(stem)
             beginnings |= heads
     model = Model(tuple(sorted(entries.items())), (0.0,) * 5, exceptions)
-    x, beta = model.features(texts), np.zeros(5)
+    x, beta = np.concatenate([model.features(texts[i : i + 100]) for i in range(0, len(texts), 100)]), np.zeros(5)  # few texts are folded at once
     for _ in range(40):  # Newton's method with a small ridge
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         h = (x * (w * p * (1 - p))[:, None]).T @ x + 1e-3 * w.mean() * np.eye(5)
