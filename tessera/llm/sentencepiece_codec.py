@@ -26,7 +26,7 @@ from ._io import lean
 
 SPACE = "▁"
 #: Entries of a worker's chunk cache and characters in them; half of them are the older ones, dropped first.
-CACHE_ENTRIES, CACHE_CHARS = 300_000, 8 << 20
+CACHE_ENTRIES, CACHE_CHARS = 500_000, 8 << 20
 #: Longest part merged without a heap.
 SHORT = 40
 NONE = float("-inf")
@@ -190,9 +190,10 @@ class Codec:
         """For each text its ids, joined by commas, and its chunks; chunks that the cache lacks are merged block by block."""
         for block in _blocks(texts):
             split = [self.chunks(x) for x in block]
-            missing = {c for chunks in split for c in chunks if c not in self.new}
+            present = set().union(*split)
+            missing = present - self.new.keys()
             if len(missing) + len(self.new) > self.cache_entries // 2 or missing and self.chars > CACHE_CHARS // 2:
-                missing = {c for chunks in split for c in chunks}
+                missing = present
             if missing:
                 self._fill(missing)
             ids_of = self.new.__getitem__
@@ -268,6 +269,19 @@ def _utf8(run: bytearray) -> str:
     return "".join(out)
 
 
+def _forgetful(run):
+    """The same function over batches; the cache is dropped when a task ends, so that idle workers are small. Most of its hits come from the same task."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            for c in _codecs.values():
+                c.new, c.old, c.chars = {}, {}, 0
+
+    return lean(wrapped)
+
+
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for k in range(0, b.num_rows, rows):
@@ -306,7 +320,7 @@ def token_digests(docs: DataFrame, model_file: str | None = None, id_col: str =
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(lean(run), f"id {kind}, {RESULT}").withColumnRenamed("id", id_col)
+    return source.mapInArrow(_forgetful(run), f"id {kind}, {RESULT}").withColumnRenamed("id", id_col)
 
 
 def encoded(docs: DataFrame, model_file: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -322,7 +336,7 @@ def encoded(docs: DataFrame, model_file: str | None = None, id_col: str = "doc_i
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(lean(run), f"id {kind}, token_ids array<int>, n_tokens long, round_trip boolean").withColumnRenamed("id", id_col)
+    return source.mapInArrow(_forgetful(run), f"id {kind}, token_ids array<int>, n_tokens long, round_trip boolean").withColumnRenamed("id", id_col)
 
 
 def encode(docs: DataFrame, model_file: str | None = None, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
