@@ -51,7 +51,12 @@ def smallest_hashes(rows: DataFrame, by: str, n: int, most_bytes: int) -> DataFr
     rows = rows.select("doc_id", by, "text", F.xxhash64("doc_id", "text").alias("hash")).withColumn("draw", F.pmod("hash", F.lit(1 << 40)))
     counts = rows.groupBy(by).agg(F.count("*").alias("all"))
     few = rows.join(F.broadcast(counts), by).filter(F.col("draw") * F.col("all") <= float(1 << 40) * (2 * n + 200)).drop("all")
-    few = few.groupBy(by, "draw", "hash").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    return first_hashes(few, by, n, most_bytes)
+
+
+def first_hashes(few: DataFrame, by: str, n: int, most_bytes: int) -> DataFrame:
+    """For each value of `by` the n distinct rows (doc_id, by, text, hash) of the smallest hashes, up to about most_bytes of texts; meant for few rows."""
+    few = few.withColumn("draw", F.pmod("hash", F.lit(1 << 40))).groupBy(by, "draw", "hash").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
     order = Window.partitionBy(by).orderBy("draw", "hash")
     before = F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     few = few.withColumn("place", F.row_number().over(order)).withColumn("before", F.coalesce(before, F.lit(0)))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._io import held_out, lean, smallest_hashes
+from ._io import first_hashes, held_out, lean
 
 #: Labelled documents of each class from which the model is learned, at most, and bytes of their texts: those with the smallest hashes.
 SAMPLE_PER_CLASS, SAMPLE_BYTES = 2500, 16 << 20
@@ -178,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     picked = [known.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_per_class) for c in (0, 1)]
     few = docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")  # at most 2 * sample_per_class ids
-    rows = smallest_hashes(few, "toxic", sample_per_class, SAMPLE_BYTES).collect()  # bounded in rows and bytes
+    rows = first_hashes(few.withColumn("hash", F.xxhash64("doc_id", "text")), "toxic", sample_per_class, SAMPLE_BYTES).collect()  # bounded in rows and bytes
     rows.sort(key=lambda r: (r["toxic"], r["doc_id"], r["text"] or ""))
     if not rows:
         return Model((), (-4.0, 0.0, 0.0, 0.0, 0.0))
