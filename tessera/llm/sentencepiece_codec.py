@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding for merge-type vocabularies.
 
 A text is merged by a score-ordered agenda of adjacent symbol pairs: the pair with the best score is
-merged first, the leftmost among equals, and the pairs that the merge makes join the agenda. Pieces hold
+merged first, the leftmost among equals, and the pairs that the merge makes join the agenda. The agendas of
+many chunks advance side by side, as the rows of a matrix. Pieces hold
 a space mark only at their start, so texts fall into chunks that never merge with each other; every
 distinct chunk is merged once a worker, and each newly merged chunk is checked against the sentencepiece
 library, batch by batch, as is the first whole text of every batch. A difference raises an error. Texts are
@@ -15,9 +16,12 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import sys
 from collections.abc import Iterator
+from itertools import pairwise
 from operator import add
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +31,9 @@ from ._io import lean
 SPACE = "▁"
 #: Entries of a worker's chunk cache and characters in them; half of them are the older ones, dropped first.
 CACHE_ENTRIES, CACHE_CHARS = 500_000, 8 << 20
-#: Longest part merged without a heap.
+#: Longest part merged without a heap, and the widths by which chunks up to it are merged side by side.
 SHORT = 40
+WIDTHS = (0, 6, 9, 13, 20, SHORT)
 NONE = float("-inf")
 _BYTE_TEXT = [chr(v) if v < 128 else None for v in range(256)]
 RESULT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -73,6 +78,17 @@ class Codec:
         joint: dict[str, set[str]] = {}
         for x, y in self.pairs:
             joint.setdefault(y, set()).add(x)
+        self.text_of = [str(i) for i in range(len(self.piece))]
+        #: Symbols by code point (-1: no piece of one character), and what two of them merge into, sorted by both.
+        self.symbol_of = np.full(sys.maxunicode + 1, -1, np.int32)
+        for p, i in self.id.items():
+            if len(p) == 1:
+                self.symbol_of[ord(p)] = i
+        self.blank = len(self.piece)
+        merges = sorted((self._key(self.id[p[:k]], self.id[p[k:]]), self.score[p], i) for p, i in self.id.items() for k in range(1, len(p)) if p[:k] in self.id and p[k:] in self.id)
+        self.merge_key = np.array([k for k, _, _ in merges] + [np.iinfo(np.int64).max], np.int64)
+        self.merge_score = np.array([x for _, x, _ in merges] + [NONE], np.float32)
+        self.merge_into = np.array([i for _, _, i in merges] + [0], np.int32)
         marks = {c for p in self.id for c in p if not c.isalpha() and not c.isdecimal()} - {SPACE}
         while odd := {c for c in marks if joint.get(c, set()) - marks - {SPACE}}:
             marks -= odd
@@ -137,6 +153,58 @@ class Codec:
                 meet(before[i], i)
         return [x for x in symbol if x is not None]
 
+    def _key(self, a, b):
+        return a * (self.blank + 1) + b
+
+    def _meet(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Score of the merge of each two symbols, and its symbol; NONE where they don't merge."""
+        key = self._key(a, b)
+        at = self.merge_key.searchsorted(key)
+        return np.where(self.merge_key[at] == key, self.merge_score[at], np.float32(NONE)), self.merge_into[at]
+
+    def _merge_rows(self, s: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The agendas of many rows of symbols side by side: each step takes the best entry of every row. Rows begin and end with blanks; (rows, their symbols) come as they are finished."""
+        rows = np.arange(len(s))
+        score, into = self._meet(s[:, :-1], s[:, 1:])
+        while rows.size:
+            at, r = score.argmax(1), np.arange(rows.size)
+            done = score[r, at] == NONE
+            if done.any():
+                yield rows[done], s[done]
+                go = ~done
+                rows, s, score, into, at = rows[go], s[go], score[go], into[go], at[go]
+                r = r[: rows.size]
+            s[r, at] = into[r, at]
+            columns = np.arange(s.shape[1])
+            less = (rows.size, columns.size - 1)
+            s = s[columns != at[:, None] + 1].reshape(less)
+            stay, less = columns[:-1] != at[:, None], (rows.size, columns.size - 2)
+            score, into = score[stay].reshape(less), into[stay].reshape(less)
+            for k in (at - 1, at):
+                score[r, k], into[r, k] = self._meet(s[r, k], s[r, k + 1])
+
+    def _new_all(self, chunks: list[str]) -> list[list[int]]:
+        """Ids of chunks; long ones, and those with a character that is no piece, are merged each on its own."""
+        out: list[list[int]] = [[]] * len(chunks)
+        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        symbols = self.symbol_of[np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)]
+        first = size.cumsum() - size
+        plain = (size <= SHORT) & (np.minimum.reduceat(symbols, first) >= 0)
+        for i in np.flatnonzero(~plain).tolist():
+            out[i] = self._new(chunks[i])
+        for low, high in pairwise(WIDTHS):
+            some = np.flatnonzero(plain & (size > low) & (size <= high))
+            if not some.size:
+                continue
+            columns = np.arange(size[some].max())
+            s = np.full((some.size, columns.size + 2), self.blank, np.int64)
+            s[:, 1:-1] = np.where(columns < size[some, None], symbols[np.minimum(first[some, None] + columns, symbols.size - 1)], self.blank)
+            for rows, merged in self._merge_rows(s):
+                n = (merged != self.blank).sum(1)
+                for i, k, ids in zip(some[rows].tolist(), n.tolist(), merged[:, 1:].tolist(), strict=True):
+                    out[i] = ids[:k]
+        return out
+
     def _new(self, chunk: str) -> list[int]:
         """Ids of a chunk, cut between characters that stand together in no piece."""
         cuts = [k for k, p in enumerate(map(add, chunk, chunk[1:]), 1) if p not in self.pairs]
@@ -150,7 +218,7 @@ class Codec:
         if len(self.new) + len(chunks) > self.cache_entries // 2 or self.chars > CACHE_CHARS // 2:
             self.old, self.new, self.chars = self.new, {}, 0
         self.chars += sum(map(len, chunks))
-        old, todo = self.old, []
+        old, todo, text_of = self.old, [], self.text_of
         for c in chunks:
             ids = old.get(c)
             if ids is None:
@@ -161,11 +229,10 @@ class Codec:
         for start in range(0, len(todo), 20_000):
             block = todo[start : start + 20_000]
             want = self.library.encode(["\n" + c for c in block], num_threads=1)
-            for c, ids in zip(block, want, strict=True):
-                got = self._new(c)
+            for c, got, ids in zip(block, self._new_all(block), want, strict=True):
                 if got != ids[head:]:
                     raise AssertionError(f"the agenda and the library differ on {c!r}: {got} and {ids[head:]}")
-                self.new[c] = ",".join(map(str, got))
+                self.new[c] = ",".join([text_of[i] for i in got])
 
     def _plain(self, ids: list[int]) -> str:
         out, run = [], bytearray()

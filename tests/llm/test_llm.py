@@ -244,6 +244,19 @@ def test_sentencepiece(docs, pairs):
         c.check_whole("some text", "1,2", "x")
 
 
+def test_rows_merge_as_one_agenda_each():
+    """Chunks merged side by side, in blocks of any mix, give what each gives alone and what the library gives."""
+    c = sentencepiece_codec.Codec(sentencepiece_codec.default_model())
+    R = random.Random(5)
+    letters = "aabcdeehilnorstt" + sentencepiece_codec.SPACE + "éßж中\U0001f600\x01"
+    chunks = ["".join(R.choices(letters, k=R.choice([1, 2, 3, 6, 7, 13, 20, 39, 40, 41, 90]))) for _ in range(3000)] + ["a" * 40, "a" * 7, "中", "\U0001f600"]
+    got = c._new_all(chunks)
+    assert got == [c._new(x) for x in chunks]
+    head = len(c.library.encode("\n"))
+    assert got == [ids[head:] for ids in c.library.encode(["\n" + x for x in chunks])]
+    assert c._new_all(["ж"]) == [c._new("ж")]
+
+
 @pytest.mark.parametrize("block", [1 << 24, 800])
 def test_decontamination(spark, docs, pairs, block):
     bench = spark.read.parquet(f"{DIR}/benchmark.parquet").select(F.col("item_id").cast("string").alias("item_id"), "text")
