@@ -83,6 +83,13 @@ def give_back() -> None:
             trim(0)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in smaller ones, so that what is built for a batch stays small."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def utf8_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

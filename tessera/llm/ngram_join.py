@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._io import checkpointed, lean, text_blocks, utf8_buffers
+from ._io import checkpointed, lean, slices, text_blocks, utf8_buffers
 from ._words import gram_hashes, mix, words_of
 from .components import connected
 
@@ -79,16 +79,16 @@ def _scan(docs: DataFrame, k: int) -> DataFrame:
         sketch = np.zeros(1 << SKETCH_BITS, np.int32)
         names = ["doc_id", "n", "sig", "key", "part", "counts"]
         kind = None
-        for b in batches:
+        for b in slices(batches):
             kind = b.column(0).type
-            n, sig, key, tokens = [], [], [], []
+            n, sig, key = [], [], []
             for s in shingle_sets(*utf8_buffers(b.column(1)), k):
                 n.append(len(s))
                 sig.append(signature(s) if len(s) else None)
                 key.append(int(mix(s ^ _C[2]).min().astype(np.int64)) if len(s) else None)
-                tokens.append(s)
-            if tokens:
-                sketch += np.bincount((np.concatenate(tokens) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch)).astype(np.int32)
+                at = s >> np.uint64(64 - SKETCH_BITS)  # in order, as s is
+                sketch[at] += 1  # once for each distinct place
+                np.add.at(sketch, at[1:][at[1:] == at[:-1]], 1)
             m = len(n)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(key, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
         if kind is not None:
@@ -122,7 +122,7 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, sketch: np.ndarray) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, seen = shared.value, set()
-        for b in batches:
+        for b in slices(batches):
             sig, prefix = [], []
             for s in shingle_sets(*utf8_buffers(b.column(0)), k):
                 if len(s):
@@ -174,13 +174,13 @@ def _wanted_sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(_filter(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool), set()
-        for b in batches:
+        bits, seen = np.frombuffer(shared.value, np.uint8), set()
+        for b in slices(batches):
             sig, n, sets = [], [], []
             for s in shingle_sets(*utf8_buffers(b.column(0)), k):
                 if len(s):
                     g = signature(s)
-                    if g not in seen and all(bits[at][0] for at in _filter_bits(np.frombuffer(g, ">u8")[:1].astype(np.uint64))):
+                    if g not in seen and all(bits[at[0] >> 3] >> (7 - (at[0] & 7)) & 1 for at in _filter_bits(np.frombuffer(g, ">u8")[:1].astype(np.uint64))):
                         seen.add(g)
                         sig.append(g)
                         n.append(len(s))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._io import lean
+from ._io import lean, slices
 
 SPACE = "▁"
 #: Entries of a worker's chunk cache and characters in them; half of them are the older ones, dropped first.
@@ -349,12 +349,6 @@ def _forgetful(run):
     return lean(wrapped)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for k in range(0, b.num_rows, rows):
-            yield b.slice(k, rows)
-
-
 _codecs: dict[str, Codec] = {}
 
 
@@ -379,7 +373,7 @@ def token_digests(docs: DataFrame, model_file: str | None = None, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_file or default_model())
-        for b in _slices(batches):
+        for b in slices(batches):
             texts = [x or "" for x in b.column(1).to_pylist()]
             c.check_whole(first := texts[0], ids := next(c._joined([first]))[0], c.decode_joined(ids))  # one whole text a batch
             n, ids, text = c.digests(texts)
@@ -395,7 +389,7 @@ def encoded(docs: DataFrame, model_file: str | None = None, id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_file or default_model())
-        for part in _slices(batches):
+        for part in slices(batches):
             texts = [x or "" for x in part.column(1).to_pylist()]
             ids = c.encode_all(texts)
             same = [c.decode(i) == x.replace(SPACE, " ") for x, i in zip(texts, ids, strict=True)]
