@@ -108,4 +108,4 @@ def worth_asking(keys: DataFrame, misses: DataFrame, now: str, days: int) -> Dat
 
 def backfill_frontier(runs: DataFrame) -> DataFrame:
     """(source_key, frontier): where a full walk goes on: the last page of the latest run, if that was clean and not cut short; else of the latest before that was."""
-    return runs.filter((F.col("errors") == 0) & ~F.col("capped") & ~F.col("rate_limited")).groupBy("source_key").agg(F.max_by("page", "run_id").alias("frontier"))
+    return runs.filter((F.col("errors") == 0) & ~F.col("capped") & ~F.col("rate_limited")).groupBy("source_key").agg(F.max_by("page", F.when(F.col("page").isNotNull(), F.col("run_id"))).alias("frontier"))

@@ -105,7 +105,7 @@ def ingest_miss_ttl(t: Tables) -> DataFrame:
 
 @query("SELECT user_id AS source_key, arg_max(CAST(value AS INTEGER), event_id) AS frontier FROM events WHERE event_type <> 'error' AND event_id % 3 <> 0 AND event_id % 11 <> 0 GROUP BY 1")
 def ingest_backfill_frontier(t: Tables) -> DataFrame:
-    runs = t.events.select(F.col("user_id").alias("source_key"), F.col("event_id").alias("run_id"), F.round("value").cast("int").alias("page"), (F.col("event_type") == "error").cast("int").alias("errors"), (F.col("event_id") % 3 == 0).alias("capped"), (F.col("event_id") % 11 == 0).alias("rate_limited"))
+    runs = t.events.select(F.col("user_id").alias("source_key"), F.col("event_id").alias("run_id"), F.rint("value").cast("int").alias("page"), (F.col("event_type") == "error").cast("int").alias("errors"), (F.col("event_id") % 3 == 0).alias("capped"), (F.col("event_id") % 11 == 0).alias("rate_limited"))
     return I.backfill_frontier(runs)
 
 

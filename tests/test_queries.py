@@ -5,6 +5,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.plans import ORACLE_SQL, QUERIES
 
@@ -38,6 +39,25 @@ def test_rows_are_those_of_the_sql(spark, duck, name):
     assert rows == sorted((tuple(plain(r[i]) for i in at) for r in want.fetchall()), key=repr)
 
 
+def same_as_sql(spark, name, folder, **tables):
+    """The rows of a query and of its SQL over made tables."""
+    c = duckdb.connect()
+    for t, rows in tables.items():
+        rows.write.parquet(f"{folder}/{t}.parquet")
+        c.execute(f"create view {t} as select * from '{folder}/{t}.parquet/*.parquet'")
+    got, want = QUERIES[name](spark, str(folder)), c.sql(ORACLE_SQL[name])
+    at = [want.columns.index(x) for x in got.columns]
+    rows = sorted((tuple(map(plain, r)) for r in got.collect()), key=repr)
+    assert rows == sorted((tuple(plain(r[i]) for i in at) for r in want.fetchall()), key=repr)
+    return rows
+
+
+def test_frontier_rounds_halves_to_even(spark, tmp_path):
+    events = [(1, 1, "view", 2.5), (2, 2, "view", 3.5), (4, 3, "view", 7.0), (5, 3, "view", None), (7, 4, "view", None), (8, 5, "error", 4.0), (10, 5, None, 4.0)]
+    rows = spark.createDataFrame(events, "event_id long, user_id long, event_type string, value double").withColumn("ts", F.timestamp_seconds(F.lit(0)))
+    assert same_as_sql(spark, "ingest_backfill_frontier", tmp_path, events=rows) == [(1, 2), (2, 4), (3, 7), (4, None)]
+
+
 #: Queries that SQL can't say, each with a test of its rows below or in the tests of its operator.
 WITHOUT_SQL = {"text_chunk", "text_grammar_scan", "text_collapse_edges", "text_treatment", "text_hashed_embedding", "graph_components_veto", "shard_bin_packing", "text_reanchor", "agg_recall_audit", "text_language_grammars"}
 
