@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import text as Tx
 from tessera.plans import ORACLE_SQL, QUERIES
 
 DIR = "/root/testdata/sf0.001"
@@ -58,6 +59,15 @@ def test_frontier_rounds_halves_to_even(spark, tmp_path):
     assert same_as_sql(spark, "ingest_backfill_frontier", tmp_path, events=rows) == [(1, 2), (2, 4), (3, 7), (4, None)]
 
 
+def test_sentences_behind_abbreviations(spark, tmp_path):
+    texts = ["La no. No. El. Ie. Ch. Ungach.", "No. R. V. P. Art. Xyz. No.", "At 12345678901234567890. The end 7. Then", "art\u017f. (a) Nos. [b] \u212ano. No. A", "One.\x0bTwo. \x0b Three.\u0085 Four.  Five \u0085", "Xno. A _no. B éno. C no.. D", "", " \n ", None, "a.\x01 \x02B"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sorted(same_as_sql(spark, "text_sentence_split", tmp_path, documents=docs))
+    assert [s for d, _, s in rows if d == 0] == ["La no. No.", "El.", "Ie. Ch.", "Ungach."]
+    for d, text in enumerate(texts[:6]):
+        assert [text[a:z].strip(Tx.WHITE) for a, z in Tx._sentence_spans(text)] == [s for x, _, s in rows if x == d]
+
+
 #: Queries that SQL can't say, each with a test of its rows below or in the tests of its operator.
 WITHOUT_SQL = {"text_chunk", "text_grammar_scan", "text_collapse_edges", "text_treatment", "text_hashed_embedding", "graph_components_veto", "shard_bin_packing", "text_reanchor", "agg_recall_audit", "text_language_grammars"}
 
