@@ -72,6 +72,22 @@ def linked(both: int, a: int, b: int, num: int, den: int) -> bool:
     return den * both >= num * (a + b - both)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """The counts that aren't zero and the steps between their places, byte by byte of equal weight: a task of few shingles sends little."""
+    at = np.flatnonzero(counts).astype(np.uint32)
+    kinds = np.diff(at, prepend=np.uint32(0)), counts[at].astype(np.uint64)
+    return zlib.compress(b"".join(x.view(np.uint8).reshape(len(at), x.itemsize).T.tobytes() for x in kinds), 1)
+
+
+def unpacked(data: bytes, size: int) -> np.ndarray:
+    raw = np.frombuffer(zlib.decompress(data), np.uint8)
+    m = len(raw) // 12
+    out = np.zeros(size, np.int64)
+    at = np.cumsum(np.ascontiguousarray(raw[: 4 * m].reshape(4, m).T).view(np.uint32).ravel(), dtype=np.int64)
+    out[at] = np.ascontiguousarray(raw[4 * m :].reshape(8, m).T).view(np.int64).ravel()
+    return out
+
+
 def _scan(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, n, sig, key) for each row, sig null for empty sets; and (part, counts), the parts of each task's sketch."""
 
@@ -92,7 +108,7 @@ def _scan(docs: DataFrame, k: int) -> DataFrame:
             m = len(n)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(key, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
         if kind is not None:
-            parts = [zlib.compress(p.astype(np.int64).tobytes(), 1) for p in np.split(sketch, SKETCH_PARTS)]
+            parts = [packed(p) for p in np.split(sketch, SKETCH_PARTS)]
             m = len(parts)
             yield pa.RecordBatch.from_arrays([pa.nulls(m, kind), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.array(range(m), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
@@ -103,16 +119,17 @@ def _scan(docs: DataFrame, k: int) -> DataFrame:
 def _sketch(scanned: DataFrame) -> np.ndarray:
     """The sum of the tasks' sketches, of fixed size."""
     parts = scanned.filter(F.col("part").isNotNull()).select("part", "counts")
+    size = (1 << SKETCH_BITS) // SKETCH_PARTS
 
     def total(table: pa.Table) -> pa.Table:
-        counts = sum(np.frombuffer(zlib.decompress(x.as_py()), np.int64) for x in table.column("counts"))
-        return pa.table({"part": table.column("part")[:1], "counts": pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())})
+        counts = sum(unpacked(x.as_py(), size) for x in table.column("counts"))
+        return pa.table({"part": table.column("part")[:1], "counts": pa.array([packed(counts)], pa.binary())})
 
     salted = parts.groupBy("part", (F.spark_partition_id() % 64).alias("s")).applyInArrow(total, "part int, counts binary")
     rows = salted.groupBy("part").applyInArrow(total, "part int, counts binary").collect()  # SKETCH_PARTS rows
-    out = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.int64)
+    out = np.zeros((SKETCH_PARTS, size), np.int64)
     for r in rows:
-        out[r["part"]] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
+        out[r["part"]] = unpacked(r["counts"], size)
     return np.minimum(out.reshape(-1), (1 << 32) - 1).astype(np.uint32)
 
 

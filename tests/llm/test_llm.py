@@ -34,6 +34,32 @@ def docs(spark):
     return real.unionByName(odd).withColumn("n", F.lit("x")).withColumn("score", F.lit(7)).withColumn("words", F.lit("y")).withColumn("t", F.lit("z")).cache()
 
 
+def test_few_links_and_few_shingles_leave_little_behind(spark, monkeypatch):
+    import os
+
+    from tessera.llm import components
+    from tessera.llm._io import checkpoint_folder
+
+    draw = np.random.default_rng(1)
+    for counts in (np.zeros(1 << 18, np.int32), draw.integers(0, 1 << 31, 1 << 18), np.where(draw.random(1 << 18) < 0.01, 1, 0)):
+        assert (ngram_join.unpacked(ngram_join.packed(counts), 1 << 18) == counts).all()
+    docs = spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string")
+    parts = ngram_join._scan(docs, 3).filter("part IS NOT NULL").collect()
+    assert len(parts) == ngram_join.SKETCH_PARTS and sum(len(r["counts"]) for r in parts) < 1000
+    links = [(int(a), int(b)) for a, b in draw.integers(0, 300, (100, 2))] + [(None, 5), (999, None)] + [(i, i + 1) for i in range(1000, 1008)]
+    for kind, name in (("long", lambda x: x), ("string", lambda x: x if x is None else f"é{x}"), ("binary", lambda x: x if x is None else bytes([x % 256, x // 256]))):
+        rows = spark.createDataFrame([(name(a), name(b)) for a, b in links], f"a {kind}, b {kind}").repartition(5)
+        before = len(os.listdir(checkpoint_folder(spark).removeprefix("file:")))
+        got = sorted((r["node"], r["comp"]) for r in components.connected(rows).collect())
+        assert len(os.listdir(checkpoint_folder(spark).removeprefix("file:"))) <= before + 1
+        if kind == "binary":
+            with monkeypatch.context() as m:
+                m.setattr(components, "FEW", 0)
+                assert got == sorted((r["node"], r["comp"]) for r in components.connected(rows).collect())
+    none = spark.createDataFrame([(None, 1)], "a long, b long")
+    assert components.connected(none).count() == 0
+
+
 @pytest.fixture(scope="module")
 def pairs(docs):
     return [(r["doc_id"], r["text"]) for r in docs.collect()]
