@@ -525,6 +525,67 @@ def test_substring_dedup_cases(spark):
     assert found_passages(spark, [same[:49]] * 3) == []
 
 
+def test_substring_dedup_links_fuzzy_passages_whose_seeds_others_hold(spark):
+    """Every two texts with a like passage are linked, directly or over others, where texts before, between and behind them hold its seeds."""
+    R = random.Random(14)
+    texts, groups = [], []
+    for _ in range(12):
+        p = made_words(R, R.choice((60, 60, 150)))
+        pieces = [p[k : k + 12] for k in range(0, len(p), 12)]
+        q = [f"x{w}" if k % 12 == 11 else w for k, w in enumerate(p)]  # ungapped
+        r = [v for k, w in enumerate(p) for v in ((w, "new") if k % 12 == 11 else (w,))]  # each gap on another diagonal
+        like = []
+        for t in (p, q, r):
+            texts += [made_words(R, 70) + x + made_words(R, 70) for x in pieces]
+            like.append(len(texts))
+            texts.append(made_words(R, 70) + t + made_words(R, 70))
+        groups.append(like)
+    texts += [made_words(R, 70) + t[70:82] + made_words(R, 70) for t in texts]
+    up = [*range(len(texts))]
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for x in found_passages(spark, texts):
+        assert x["end"] - x["start"] >= 50 and x["identity"] >= 0.8
+        up[root(x["doc_id"])] = root(x["other_id"])
+    assert all(len({root(d) for d in like}) == 1 for like in groups)
+    assert len({root(like[0]) for like in groups}) == len(groups) and all(root(d) == d for d in set(range(len(texts))) - {d for like in groups for d in like})
+
+
+def test_like_places_lose_no_link():
+    """Against all pairs: the components of rows of words whose middle lies in a stretch of 50 words, 40 of them equal."""
+    R = random.Random(15)
+    reach = substring_dedup._reach(50)
+    width = 2 * reach + 5
+    for n in (2, 9, 40, 300):
+        middle, rows = [R.randrange(1, 1 << 16) for _ in range(width)], []
+        for _ in range(n):
+            a, b = R.randint(0, reach), R.randint(0, reach)
+            edit = R.choice((0, 0.05, 0.1, 0.2))
+            rows.append([w if reach - a <= k < reach + 5 + b and (R.random() > edit or reach <= k < reach + 5) else R.randrange(1, 1 << 16) for k, w in enumerate(middle)])
+        words = np.array(rows, np.uint16)
+        got = [*range(n)]
+        root = lambda up, i: i if up[i] == i else root(up, up[i])
+        for x, y, anchors in substring_dedup.like_places(words, np.arange(n), 50, 0.8):
+            assert y < x and len(anchors) > 1 and all((words[x][v : v + 5] == words[y][w : w + 5]).all() for v, w in anchors)
+            got[root(got, x)] = root(got, y)
+        for x in range(n):
+            for y in range(x):
+                same = words[x] == words[y]
+                here = [s for s in range(reach - 45, reach + 1) if same[s : s + 50].sum() >= 40 and same[s] and same[s + 49]]
+                if any(same[s : s + 50].all() for s in here):
+                    got[root(got, x)] = root(got, y)  # linked by their run
+        for x in range(n):
+            for y in range(x):
+                same = words[x] == words[y]
+                here = [s for s in range(reach - 45, reach + 1) if same[s : s + 50].sum() >= 40 and same[s] and same[s + 49]]
+                if any(sum(same[k : k + 5].all() for k in range(s, s + 46)) > 1 for s in here):
+                    assert root(got, x) == root(got, y)
+
+
 def edited(R, words, rate):
     out = []
     for w in words:
