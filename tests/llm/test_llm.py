@@ -586,6 +586,45 @@ def test_like_places_lose_no_link():
                     assert root(got, x) == root(got, y)
 
 
+def test_like_places_of_texts_that_repeat_a_word():
+    """Texts with the same word over and over aren't linked unless they align, at whatever pair of places."""
+    R = random.Random(16)
+    reach = substring_dedup._reach(50)
+
+    def row(before, run, behind):
+        return [0] * (reach - len(before)) + before + [7] * run + behind + [0] * (reach - len(behind))
+
+    def other(n):
+        return [R.randrange(8, 1 << 16) for _ in range(n)]
+
+    texts = [[other(reach) + [7] * n + other(reach)] for n in (20, 33, 38, 33, 45)]
+    places = [(t[0][p : p + 2 * reach + 5], k) for k, t in enumerate(texts) for p in range(len(t[0]) - 2 * reach - 4)]
+    assert list(substring_dedup.like_places(np.array([w for w, _ in places], np.uint16), np.array([k for _, k in places]), 50, 0.8)) == []
+    side = other(30)
+    rows, runs = [row(other(50), 33, side), row(other(40), 40, side), row(other(50), 20, other(57)), row(side, 12, other(57)), row(side, 20, other(57))], np.array([33, 40, 20, 12, 20])
+    words = np.zeros((len(rows), max(len(r) for r in rows)), np.uint16)
+    for w, r in zip(words, rows):
+        w[: len(r)] = r
+    assert [(x, y) for x, y, _ in substring_dedup.like_places(words, np.arange(len(rows)), 50, 0.8, runs - 5)] == [(1, 0)]
+    linked = 0
+    for _ in range(400):  # the filter passes whatever aligns
+        side = [sum(([w] * R.choice((1, 1, 1, 9)) for w in other(60)), [])[:reach] for _ in range(2)]
+        pair, n = [], [R.randint(5, 40) for _ in range(2)]
+        for k in n:
+            before, behind = ([w if R.random() > 0.1 else R.randrange(8, 1 << 16) for w in x] for x in side)
+            cut = R.choice((0, 5, 20, 30)), R.choice((57, 50, 30, 20))
+            pair.append(row(before[cut[0] :] if R.random() < 0.7 else other(40), k, behind[: cut[1]] if R.random() < 0.7 else other(40)))
+        w = np.zeros((2, max(len(r) for r in pair)), np.uint16)
+        w[0, : len(pair[0])], w[1, : len(pair[1])] = pair
+        start, end = substring_dedup._one_word(w, reach)
+        left, right = substring_dedup._sides(w, start, end, reach)
+        a, b = ((left[k : k + 1], right[k : k + 1], (end - start)[k : k + 1]) for k in range(2))
+        if substring_dedup.aligned_places(w[0], w[1], reach, 50, 0.8, (n[0] - 5, n[1] - 5)):
+            linked += 1
+            assert substring_dedup.may_align(a, b, 50, 0.8)[0]
+    assert linked > 50
+
+
 def edited(R, words, rate):
     out = []
     for w in words:
